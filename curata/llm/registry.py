@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import fertility, packing, token_counts
+from curata.llm import fertility, html_text, packing, quality, simhash, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +24,28 @@ def op9_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op3_token_counts, op4_fertility_rules, op9_differencing_packing)}
+#: Rules of the url query.
+URL_RULES = [url_filter.Rule("block", "com", "/en/"), url_filter.Rule("allow", "example.com", "/en/7"), url_filter.Rule("allow", "net", "/de/"), url_filter.Rule("block", "example.net", "/de/8"), url_filter.Rule("block", "org", "/es/")]
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3)
+
+
+def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op3_token_counts, op4_fertility_rules, op5_url_filter, op6_tag_path_text, op8_simhash_near_dedup, op9_differencing_packing, op10_pairwise_quality)}
 
 #: None of these can be written in DuckDB SQL at whole-table size (tokenizers, models, sketches).
 ORACLE_SQL: dict[str, str] = {}
