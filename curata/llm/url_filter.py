@@ -45,8 +45,8 @@ class Rule(NamedTuple):
 #: Words kept in the lexicon, cells of naive Bayes, longest word of the lexicon.
 LEXICON, CELLS, LONGEST = 50_000, 1 << 16, 24
 
-#: Tokens that each class counts for, tokens that a seed word counts for, log-odds of block before any token.
-MASS, SEED_WEIGHT, PRIOR = 1000.0, 50.0, -2.0
+#: Tokens that each class's rows count for, smoothing tokens, tokens that a seed word counts for, log-odds of block before any token.
+RULE_MASS, MASS, SEED_WEIGHT, PRIOR = 100.0, 1000.0, 50.0, -2.0
 
 #: Seed words: what names of unwanted and of wanted sites are often made of.
 SEED_BLOCK = "adult bet bets bonus buy casino cheap cialis coupon crack deals drugs escort farm free gambling keygen loan loans lottery meds nude payday pharmacy pill pills poker porn replica rich sale sex slots spam viagra warez weight win xxx".split()
@@ -153,13 +153,14 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     table = np.full((2, CELLS), 0.0)
     for r in trained.groupBy("block", "cell").agg(F.sum("n").alias("n")).collect():  # at most 2 * CELLS rows
         table[int(r["block"]), r["cell"]] += r["n"]
-    table *= MASS / np.maximum(1.0, table.sum(1, keepdims=True))  # both classes weigh the same; the prior is apart
+    table *= RULE_MASS / np.maximum(1.0, table.sum(1, keepdims=True))  # both classes weigh the same; the prior is apart
+    pooled = 1.0 + MASS * table.sum(0) / max(1.0, table.sum())  # what both classes are smoothed towards
     for k, words in enumerate((SEED_ALLOW, SEED_BLOCK)):
         for w in words:
             table[k, cell(w)] += SEED_WEIGHT
             table[k, cell(f"/{w}")] += SEED_WEIGHT / 4
-    pooled = MASS * (table.sum(0) + 1.0 / CELLS) / (table.sum() + 1.0)  # what either class is smoothed towards
-    log_odds = np.log((table[1] + pooled) / (table[1].sum() + MASS)) - np.log((table[0] + pooled) / (table[0].sum() + MASS))
+    share = (table + pooled) / (table + pooled).sum(1, keepdims=True)
+    log_odds = np.log(share[1]) - np.log(share[0])
 
     def scored(batches):
         for batch in batches:
