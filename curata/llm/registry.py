@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import byte_bpe, fertility, html_text, packing, quality, simhash, token_counts, url_filter
+from curata.llm import byte_bpe, fertility, html_text, iblt, packing, quality, simhash, token_counts, url_filter
 from curata.shipping import ship
 
 
@@ -41,6 +41,10 @@ def op6_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op7_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), size=3)
 
@@ -50,7 +54,7 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op4_fertility_rules, op5_url_filter, op6_tag_path_text, op8_simhash_near_dedup, op9_differencing_packing, op10_pairwise_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op4_fertility_rules, op5_url_filter, op6_tag_path_text, op7_iblt_fingerprints, op8_simhash_near_dedup, op9_differencing_packing, op10_pairwise_quality)}
 
 #: None of these can be written in DuckDB SQL at whole-table size (tokenizers, models, sketches).
 ORACLE_SQL: dict[str, str] = {}
