@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curata.llm import byte_bpe, fertility, html_text, iblt, packing, quality, simhash, token_counts, url_filter
+from curata.llm import byte_bpe, fertility, html_text, iblt, katz, packing, quality, simhash, token_counts, url_filter
 from curata.shipping import ship
 
 
@@ -17,6 +17,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.scores(_table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -54,7 +58,7 @@ def op10_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scores(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_token_counts, op4_fertility_rules, op5_url_filter, op6_tag_path_text, op7_iblt_fingerprints, op8_simhash_near_dedup, op9_differencing_packing, op10_pairwise_quality)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_katz_scores, op3_token_counts, op4_fertility_rules, op5_url_filter, op6_tag_path_text, op7_iblt_fingerprints, op8_simhash_near_dedup, op9_differencing_packing, op10_pairwise_quality)}
 
 #: None of these can be written in DuckDB SQL at whole-table size (tokenizers, models, sketches).
 ORACLE_SQL: dict[str, str] = {}
