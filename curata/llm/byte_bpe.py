@@ -14,8 +14,9 @@ library, from a literal list that is empty for most vocabularies.
 The fold costs the square of a word's length, so words of over ``LONG`` bytes are first cut between neighbouring bytes
 that no piece of the vocabulary holds side by side, where no merge can reach across.
 
-A block holds the documents of one task up to ``BLOCK_BYTES``; its words, their order in each document, and the documents'
-ids form one row.  There is no shuffle: nothing of one document leaves its task.
+A block holds the documents of one task up to ``BLOCK_BYTES``; the words that no earlier block of the task had, the order of
+words in each document, and the documents' ids form one row.  A task keeps its words, up to ``HELD``, and begins anew beyond
+that.  There is no shuffle: nothing of one document leaves its task.
 
 Edge cases: a null or empty text has no ids, and both digests are those of the empty string; a text of one long word is
 encoded whole; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
@@ -26,7 +27,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,11 @@ from pyspark.sql import functions as F
 from curata.llm.textmap import chunks, held
 from curata.llm.word_bpe import _ODD
 
-#: Text of a block, and bytes of a word that is first cut; small maps of the rank map (a prime, so remainders of keys spread); rank of no pair.
-BLOCK_BYTES, LONG, MAPS, NONE = 20 << 20, 64, 65_521, (1 << 31) - 1
+#: Text of a block, words that a task keeps, and bytes of a word that is first cut.
+BLOCK_BYTES, HELD, LONG = 6 << 20, 500_000, 64
+
+#: Small maps of the rank map (a prime, so remainders of keys spread), rank of no pair, and what tells ids from ranks.
+MAPS, NONE, ID = 65_521, 1 << 29, 1 << 30
 
 # The pattern for texts of plain characters, by the faster module.
 _FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
@@ -53,12 +58,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Splitter:
     """Pre-tokens of a text."""
 
-    def __init__(self, pattern: str, ranks: dict[bytes, int], plain: bool) -> None:
+    def __init__(self, pattern: str, ranks: dict[bytes, int], plain: bool, whole: dict[bytes, int]) -> None:
         exact = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.exact, self.plain = regex.compile(exact), plain
         self.pairs = {p[k : k + 2] for p in ranks for k in range(len(p) - 1)}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.unreached = unreached(ranks, pair_ranks(ranks))
+        self.unreached = whole
 
     def split(self, text: str) -> list[str]:
         """The pre-tokens; long ones cut where no piece can reach across."""
@@ -74,11 +79,6 @@ class Splitter:
         return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 #: Pair keys: the left id times this, plus the right id.
 _LEFT = 1 << 21
 
@@ -117,25 +117,34 @@ def literals(spark: SparkSession, ranks: dict[bytes, int]) -> tuple[Column, Colu
 
 
 def merge_bytes(ids: Column, maps: Column) -> Column:
-    """Ids of one word from its bytes' ids: array<int>."""
+    """Ids of one word from its bytes' ids: array<int>.
 
-    def rank(a: Column, b: Column) -> Column:
+    The state's array holds ids and ranks in turn: id, rank of the pair with the next, next id, and so on; ids are raised by
+    ``ID``, so the array's minimum is the lowest rank.  Every other step finds it, the next merges there: the three
+    entries of the pair and the ranks on both sides give way to one id and its ranks.
+    """
+
+    def rank(a: Column, b: Column) -> Column:  # of ids without ID
         key = a.cast("long") * _LEFT + b
-        return F.coalesce(_let(key, lambda k: F.try_element_at(F.get(maps, (k % MAPS).cast("int")), k)), F.lit(NONE))
+        return F.coalesce(F.try_element_at(F.get(maps, (key % MAPS).cast("int")), key), F.lit(NONE))
 
-    def merge(p: Column, r: Column, m: Column, i: Column) -> Column:  # i: place of the pair, from 1; the merged id is its rank
-        n = F.size(p)
-        none = F.array().cast("array<int>")
-        before = F.when(i > 1, F.array(rank(F.get(p, i - 2), m))).otherwise(none)
-        after = F.when(i + 2 <= n, F.array(rank(m, F.get(p, i + 1)))).otherwise(none)
-        return F.struct(F.concat(F.slice(p, 1, i - 1), F.array(m), F.slice(p, i + 2, n)).alias("p"), F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), before, after, F.slice(r, i + 2, n)).alias("r"))
+    def merged(s: Column) -> Column:  # at: place of the rank, from 1
+        a, m, at = s["a"], s["m"], s["at"]
+        n = F.size(a)
+        left = F.when(at > 2, F.array(rank(F.get(a, at - 4) - ID, m), m + ID)).otherwise(F.array(m + ID))
+        right = F.when(at + 2 <= n, F.slice(a, at + 3, n))
+        both = F.when(at + 2 <= n, F.array(rank(m, F.get(a, at + 2) - ID)))
+        whole = F.when(at + 2 <= n, F.concat(F.slice(a, 1, F.greatest(at - 3, F.lit(0))), left, both, right)).otherwise(F.concat(F.slice(a, 1, F.greatest(at - 3, F.lit(0))), left))
+        return F.struct(whole.alias("a"), F.lit(NONE).alias("m"), F.lit(0).alias("at"))
 
-    def step(state: Column, _: Column) -> Column:
-        p, r = state["p"], state["r"]
-        return _let(F.coalesce(F.array_min(r), F.lit(NONE)), lambda m: F.when(m == NONE, state).otherwise(_let(F.array_position(r, m).cast("int"), lambda i: merge(p, r, m, i))))
+    def step(s: Column, k: Column) -> Column:
+        found = F.struct(s["a"].alias("a"), F.array_min(s["a"]).alias("m"), F.array_position(s["a"], F.array_min(s["a"])).cast("int").alias("at"))
+        return F.when(k % 2 == 0, found).otherwise(F.when(s["m"] < NONE, merged(s)).otherwise(s))
 
-    start = F.struct(ids.alias("p"), F.transform(F.slice(ids, 2, F.size(ids)), lambda b, k: rank(F.get(ids, k), b)).alias("r"))
-    return F.when(F.size(ids) < 2, ids).otherwise(F.aggregate(F.sequence(F.lit(2), F.size(ids)), start, step)["p"])
+    pairs = F.flatten(F.transform(ids, lambda b, k: F.when(k == 0, F.array(b + ID)).otherwise(F.array(rank(F.get(ids, k - 1), b), b + ID))))
+    start = F.struct(pairs.alias("a"), F.lit(NONE).alias("m"), F.lit(0).alias("at"))
+    last = F.aggregate(F.sequence(F.lit(0), 2 * F.size(ids) - 3), start, step)["a"]
+    return F.when(F.size(ids) < 2, ids).otherwise(F.transform(F.filter(last, lambda x: x >= ID), lambda x: x - ID))
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
@@ -143,43 +152,44 @@ def decode_ids(ids: Column, pieces: Column) -> Column:
     return F.aggregate(ids, F.lit(bytearray(b"")), lambda out, i: F.concat(out, F.get(pieces, i)))
 
 
-def _blocks(pattern: str, path: str, plain: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = held(("split", path, pattern), lambda: Splitter(pattern, read_ranks(path), plain))
-        byte_ids = splitter.byte_ids
+class _Index(dict):
+    """Word to number, in order of first sight."""
 
-        def row() -> pa.RecordBatch:
-            raw = [w if isinstance(w, bytes) else w.encode() for w in index]
-            whole = [splitter.unreached.get(w) for w in raw] if splitter.unreached else []
-            coded = byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-            ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(coded))
-            order = np.concatenate([np.zeros(0, np.int32), *orders]).tobytes()
-            word_row = pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), words)
-            whole_row = pa.array([[(k, w) for k, w in enumerate(whole) if w is not None]], pa.map_(pa.int32(), pa.int32()))
-            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([order], pa.binary()), word_row, whole_row], names=["ids", "lengths", "word_order", "words", "whole"])
+    def __missing__(self, word) -> int:
+        n = self[word] = len(self)
+        return n
 
-        def begin() -> None:
-            nonlocal index, ids, lengths, orders, size
-            index, ids, lengths, orders, size = {}, [], [], [], 0
 
-        index: dict = {}
+def _blocks(pattern: str, path: str, plain: bool, whole_pieces: dict[bytes, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splitter = held(("split", path, pattern), lambda: Splitter(pattern, read_ranks(path), plain, whole_pieces))
+        index, base = _Index(), 0
         ids: list = []
-        lengths: list[int] = []
         orders: list[np.ndarray] = []
         size = 0
+
+        def row() -> pa.RecordBatch:
+            nonlocal index, base, ids, orders, size
+            raw = [w if isinstance(w, bytes) else w.encode() for w in islice(index, base, None)]
+            whole = [(k, splitter.unreached[w]) for k, w in enumerate(raw) if w in splitter.unreached] if splitter.unreached else []
+            ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
+            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(splitter.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]))
+            order = np.concatenate(orders).astype(np.int32).tobytes()
+            columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([[len(o) for o in orders]], pa.list_(pa.int32())), pa.array([order], pa.binary()), pa.array([base], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), words), pa.array([whole], pa.map_(pa.int32(), pa.int32()))]
+            base, ids, orders, size = len(index), [], [], 0
+            if base > HELD:
+                index, base = _Index(), 0
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "lengths", "word_order", "base", "words", "whole"])
+
         for batch in batches:
             for part in chunks(batch, 1):
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = splitter.split(text or "")
-                    number = index.setdefault
                     ids.append(doc)
-                    lengths.append(len(words))
-                    orders.append(np.fromiter((number(w, len(index)) for w in words), np.int32, len(words)))
+                    orders.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
                     size += len(text or "")
                 if size >= BLOCK_BYTES:
                     yield row()
-                    begin()
         if ids:
             yield row()
 
@@ -187,42 +197,52 @@ def _blocks(pattern: str, path: str, plain: bool):
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros(0, np.int64)
+    decimal: list[bytes] = []
+    raw: list[bytes] = []
     for batch in batches:
         for k in range(batch.num_rows):
-            ids, lengths, order, coded, decoded = (batch.column(c)[k] for c in range(5))
+            ids, lengths, order, base, coded, decoded = (batch.column(c)[k] for c in range(6))
+            if not base.as_py():
+                n, decimal, raw = n[:0], [], []
+            ends = np.diff(coded.values.offsets.to_numpy())
+            text = list(map(str, coded.values.flatten().tolist()))
+            at = 0
+            for size in ends.tolist():
+                decimal.append(",".join(text[at : at + size]).encode())
+                at += size
+            n = np.concatenate([n, ends])
+            raw += decoded.values.to_pylist()
             order = np.frombuffer(order.as_py(), np.int32)
-            ends = np.cumsum(lengths.values.to_numpy(zero_copy_only=False)) if len(lengths) else []
-            n = np.diff(coded.values.offsets.to_numpy()) if len(coded) else np.zeros(0, np.int32)
-            decimal = [",".join(map(str, x)).encode() for x in coded.as_py()]
-            raw = decoded.as_py()
             out: list[list] = [[], [], []]
             at = 0
-            for end in ends:
-                words = order[at:end]
+            for size in lengths.values.to_pylist():
+                words = order[at : at + size]
                 listed = words.tolist()
-                out[0].append(int(n[words].sum()) if len(words) else 0)
+                out[0].append(int(n[words].sum()))
                 out[1].append(hashlib.sha256(b",".join([decimal[w] for w in listed])).hexdigest())
                 out[2].append(hashlib.sha256(b"".join([raw[w] for w in listed])).hexdigest())
-                at = end
+                at += size
             yield pa.RecordBatch.from_arrays([pa.array(ids.values.to_pylist(), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def coded_blocks(docs: DataFrame, path: str, pattern: str, plain: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row per block: document ids, words per document, word order (int32), and the distinct words' ids and decoded bytes.
+    """A row per block: document ids, words per document, word order (int32), words known before, and the new words' ids and decoded bytes.
 
     ``plain``: whether ``pattern`` is the usual one (contractions, letters, numbers, others, white space), for which texts
     of plain characters are cut by a faster equal.
     """
-    maps, pieces = literals(docs.sparkSession, read_ranks(path))
+    ranks = read_ranks(path)
+    maps, pieces = literals(docs.sparkSession, ranks)
     source = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
-    blocks = source.mapInArrow(_blocks(pattern, path, plain), "ids array<long>, lengths array<int>, word_order binary, words array<array<int>>, whole map<int,int>")
+    blocks = source.mapInArrow(_blocks(pattern, path, plain, unreached(ranks, pair_ranks(ranks))), "ids array<long>, lengths array<int>, word_order binary, base int, words array<array<int>>, whole map<int,int>")
 
     def word(w: Column, k: Column) -> Column:
         whole = F.try_element_at("whole", k)
-        return _let(F.when(whole.isNotNull(), F.array(whole)).otherwise(merge_bytes(w, F.col("maps"))), lambda ids: F.struct(ids.alias("ids"), decode_ids(ids, F.col("pieces")).alias("raw")))
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(merge_bytes(w, F.col("maps")))
 
-    coded = blocks.select("*", maps.alias("maps"), pieces.alias("pieces")).select("ids", "lengths", "word_order", F.transform("words", word).alias("coded"))
-    return coded.select("ids", "lengths", "word_order", F.col("coded.ids").alias("coded"), F.col("coded.raw").alias("decoded"))
+    coded = blocks.select("*", maps.alias("maps")).select("ids", "lengths", "word_order", "base", F.transform("words", word).alias("coded"))
+    return coded.select("*", pieces.alias("pieces")).select("ids", "lengths", "word_order", "base", "coded", F.transform("coded", lambda ids: decode_ids(ids, F.col("pieces"))).alias("decoded"))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, plain: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
