@@ -1,0 +1 @@
+"""Document curation and evaluation analytics on Spark."""
