@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # White space as Python's str.strip has it, and horizontal white space.
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
@@ -47,7 +48,7 @@ def truthy(value: Column) -> Column:
     return ~F.lower(strip(F.coalesce(value.cast("string"), F.lit("")))).isin("", "none", "null", "nan", "false", "0")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Unicode composition (Spark has no built-in); filter to rows that need it before calling."""
     from unicodedata import normalize

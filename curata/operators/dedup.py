@@ -106,7 +106,7 @@ def cross_pool(pools: list[DataFrame], key: str = "content_sha256") -> DataFrame
 def family_seam(rows: DataFrame, canonical: DataFrame, family: str) -> DataFrame:
     """Rows with ``reason``: families that validation or test holds stay out of train."""
     held = canonical.where(F.col("split").isin("validation", "test")).select(family).where(F.col(family).isNotNull()).distinct().withColumn("__held", F.lit(True))
-    return rows.join(held, family, "left").withColumn("reason", F.when("__held", F.lit("family_seam"))).drop("__held")
+    return rows.join(held, family, "left").withColumn("reason", F.when(F.col("__held"), F.lit("family_seam"))).drop("__held")
 
 
 def ranked_cap(rows: DataFrame, limit: int, order: list, reason: str) -> DataFrame:

@@ -233,8 +233,8 @@ def first_failure(candidates: DataFrame, corpus: DataFrame, key: str, cues: list
     like = char_similarity(alive.where("__cue and __verdict"), key, "doc_text").select(F.col("b").alias(key), F.lit(True).alias("__like")).distinct()
     j = base.join(dirty, key, "left").join(named, key, "left").join(like, key, "left")
     gate = (
-        F.when(~F.col("__schema"), "schema").when("__dirty", "contamination").when(~F.col("__cue"), "cues").when("__named", "entities")
-        .when(~F.col("__verdict"), "adjudication").when("__like", "diversity").when(~F.col("__scorer"), "scorer")
+        F.when(~F.col("__schema"), "schema").when(F.col("__dirty"), "contamination").when(~F.col("__cue"), "cues").when(F.col("__named"), "entities")
+        .when(~F.col("__verdict"), "adjudication").when(F.col("__like"), "diversity").when(~F.col("__scorer"), "scorer")
     )
     return j.select(key, gate.alias("first_failure"))
 

@@ -53,13 +53,13 @@ def guard_chain(docs: DataFrame, gate: Gate = Gate()) -> DataFrame:
     reason = (
         F.when(F.col("chars") > gate.max_chars, "oversize_chars")
         .when(F.col("n_windows") == 0, "no_windows")
-        .when("all_abstained", "all_abstained")
+        .when(F.col("all_abstained"), "all_abstained")
         .when(~F.col("vocab_ok"), "vocab_fail")
-        .when("head_excluded", "head_excluded")
+        .when(F.col("head_excluded"), "head_excluded")
         .when(F.col("subclass").isNotNull() & F.col("projected").isNull(), "subclass_unmapped")
         .when(F.col("projected") == "other", "catchall_label")
         .when(need & (F.col("support") < gate.min_support), "insufficient_support")
-        .when("ood_flag", "ood")
+        .when(F.col("ood_flag"), "ood")
         .when(fails, "gate_fail")
         .otherwise("fast_path")
     )

@@ -33,7 +33,7 @@ def grouped_split(docs: DataFrame, family: str, fraction: float, seed: int = SEE
     n = families.count()
     take = round(n * fraction)
     held = families.orderBy(keyed(family, seed), family).limit(take).withColumn("__held", F.lit(True))
-    return docs.join(held, family, "left").withColumn("split", F.when("__held", "validation").otherwise("train")).drop("__held")
+    return docs.join(held, family, "left").withColumn("split", F.when(F.col("__held"), "validation").otherwise("train")).drop("__held")
 
 
 def stratified_sample(docs: DataFrame, strata: str, n: int, seed: int = SEED, key: str = "filename") -> DataFrame:
@@ -63,4 +63,4 @@ def replay(docs: DataFrame, strata: str | None, fraction: float, seed: int = SEE
         random.shuffle(names)
         held += [(x,) for x in names[: round(len(names) * fraction)]]
     table = docs.sparkSession.createDataFrame(held, f"{key} string").withColumn("__held", F.lit(True))
-    return docs.join(F.broadcast(table), key, "left").withColumn("split", F.when("__held", "validation").otherwise("train")).drop("__held")
+    return docs.join(F.broadcast(table), key, "left").withColumn("split", F.when(F.col("__held"), "validation").otherwise("train")).drop("__held")

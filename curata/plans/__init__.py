@@ -1 +1,6 @@
-"""Plans of the engine."""
+"""Queries over the driver's tables, each with its DuckDB oracle."""
+
+from curata.plans import curation
+
+QUERIES = {**curation.QUERIES}
+ORACLE_SQL = {**curation.ORACLE_SQL}
