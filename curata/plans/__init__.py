@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with its DuckDB oracle."""
 
-from curata.plans import curation
+from curata.plans import curation, scoring
 
-QUERIES = {**curation.QUERIES}
-ORACLE_SQL = {**curation.ORACLE_SQL}
+QUERIES = {**curation.QUERIES, **scoring.QUERIES}
+ORACLE_SQL = {**curation.ORACLE_SQL, **scoring.ORACLE_SQL}
