@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,18 +108,29 @@ def messy(text: Column) -> Column:
     return (strip(text) == "") | control | (share < 0.5)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once: a lambda would compute what it takes from outside at every step."""
+    return F.transform(F.array(value), body)[0]
+
+
 def word_ngrams(text: Column, n: int = 5) -> Column:
     """Distinct n-grams of ASCII words, space-joined; none for fewer than n words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    grams = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.array_join(F.slice(words, k, n), " "))
-    return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    def grams(words: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.array_join(F.slice(words, k, n), " "))
+        return F.when(F.size(words) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    return _let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), grams)
 
 
 def char_ngrams(text: Column, n: int = 4) -> Column:
     """Distinct character n-grams of the lower-cased text with white space collapsed."""
-    flat = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-    grams = F.transform(F.sequence(F.lit(1), F.length(flat) - n + 1), lambda k: F.substring(flat, k, F.lit(n)))
-    return F.when(F.length(flat) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(grams))
+
+    def grams(letters: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(letters) - n + 1), lambda k: F.array_join(F.slice(letters, k, n), ""))
+        return F.when(F.size(letters) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
+
+    return _let(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), ""), grams)
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -22,7 +22,8 @@ def parse_steps(lines: DataFrame) -> DataFrame:
 def deltas(events: DataFrame, run: str, ts: str, order: str) -> DataFrame:
     """Seconds since the run's previous event."""
     w = Window.partitionBy(run).orderBy(ts, order)
-    return events.withColumn("seconds", F.col(ts).cast("double") - F.lag(F.col(ts).cast("double")).over(w))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    return events.withColumn("seconds", (at - F.lag(at).over(w)) / 1e6)
 
 
 def upper_median(rows: DataFrame, by: str, value: str) -> DataFrame:

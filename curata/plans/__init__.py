@@ -1,6 +1,6 @@
 """Queries over the driver's tables, each with its DuckDB oracle."""
 
-from curata.plans import curation, scoring
+from curata.plans import curation, enrichment, scoring
 
-QUERIES = {**curation.QUERIES, **scoring.QUERIES}
-ORACLE_SQL = {**curation.ORACLE_SQL, **scoring.ORACLE_SQL}
+QUERIES = {**curation.QUERIES, **scoring.QUERIES, **enrichment.QUERIES}
+ORACLE_SQL = {**curation.ORACLE_SQL, **scoring.ORACLE_SQL, **enrichment.ORACLE_SQL}
