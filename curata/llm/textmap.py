@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Texts handled together in a worker: at most so many rows and about so many bytes.
-CHUNK_ROWS, CHUNK_BYTES = 1024, 8 << 20
+CHUNK_ROWS, CHUNK_BYTES = 512, 2 << 20
 
 #: White space of the word contract, and what ``str.split`` would split at besides it.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -141,7 +141,8 @@ _HELD: dict = {}
 
 
 def held(key: tuple, make: Callable[[], object]) -> object:
-    """One object per worker process and key."""
+    """The object of a key in this worker process; another key's is given up, so a worker holds one table at most."""
     if key not in _HELD:
+        _HELD.clear()
         _HELD[key] = make()
     return _HELD[key]
