@@ -48,56 +48,63 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(7))
 
 
-def _holds(digest: Column, cell: Column, cells: int) -> Column:
-    """Whether a digest goes to a cell: its own place in that cell's third."""
+def _placed(digests: Column, cells: int) -> Column:
+    """Digests with check sums and their cells, one in each third; the low bits, which deal digests to groups, play no part."""
     third = cells // 3
-    turned = F.call_function("shiftrightunsigned", digest, (F.floor(cell / third) * 16).cast("int"))
-    return F.pmod(turned, F.lit(third).cast("long")) == cell % third
 
+    def place(d: Column, t: int) -> Column:
+        return (F.call_function("shiftrightunsigned", d, F.lit(16 * (t + 1))) % third + t * third).cast("int")
 
-def _xor(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, d: a.bitwiseXOR(d))
+    return F.transform(digests, lambda d: F.struct(d.alias("k"), _check(d).alias("x"), *[place(d, t).alias(f"at{t}") for t in range(3)]))
+
+
+def _in_cell(e: Column, cell: Column) -> Column:
+    return (e["at0"] == cell) | (e["at1"] == cell) | (e["at2"] == cell)
+
+
+def _xor(elements: Column, field: str) -> Column:
+    return F.aggregate(elements, F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(e[field]))
 
 
 def sketch(digests: Column, cells: int) -> Column:
     """array<struct<c: count, k: xor of digests, x: xor of check sums>>."""
+    none = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("x"))
 
-    def cell(j: Column) -> Column:
-        mine = F.filter(digests, lambda d: _holds(d, j, cells))
-        return _let(mine, lambda m: F.struct(F.size(m).alias("c"), _xor(m).alias("k"), _xor(F.transform(m, _check)).alias("x")))
+    def cell(placed: Column, j: Column) -> Column:
+        mine = F.filter(placed, lambda e: _in_cell(e, j))
+        return _let(mine, lambda m: F.when(F.size(m) == 0, none).otherwise(F.struct(F.size(m).alias("c"), _xor(m, "k").alias("k"), _xor(m, "x").alias("x"))))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell)
+    return _let(_placed(digests, cells), lambda placed: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda j: cell(placed, j)))
 
 
 def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["x"].bitwiseXOR(y["x"]).alias("x")))
 
 
-def peel(difference: Column, cells: int) -> Column:
-    """struct<cells, digests>: what is left of the difference and the digests recovered from it."""
+def peel(difference: Column, cells: int, most: Column) -> Column:
+    """struct<cells, digests>: what is left of the difference, and the digests (at most ``most``) recovered from it."""
 
-    def take(state: Column, p: Column) -> Column:
-        def less(z: Column, j: Column) -> Column:
-            return F.when(_holds(p["k"], j, cells), F.struct((z["c"] - p["c"]).alias("c"), z["k"].bitwiseXOR(p["k"]).alias("k"), z["x"].bitwiseXOR(p["x"]).alias("x"))).otherwise(z)
+    def take(state: Column, pure: Column) -> Column:
+        def less(p: Column, z: Column, j: Column) -> Column:
+            return F.when(_in_cell(p, j), F.struct((z["c"] - pure["c"]).alias("c"), z["k"].bitwiseXOR(pure["k"]).alias("k"), z["x"].bitwiseXOR(pure["x"]).alias("x"))).otherwise(z)
 
-        return F.struct(F.transform(state["cells"], less).alias("cells"), F.concat(state["digests"], F.array(p["k"])).alias("digests"))
+        left = _let(_placed(F.array(pure["k"]), cells)[0], lambda p: F.transform(state["cells"], lambda z, j: less(p, z, j)))
+        return F.struct(left.alias("cells"), F.concat(state["digests"], F.array(pure["k"])).alias("digests"))
 
     def step(state: Column, _: Column) -> Column:
         pure = F.filter(state["cells"], lambda z: (F.abs(z["c"]) == 1) & (z["x"] == _check(z["k"])))
         return _let(pure, lambda p: F.when(F.size(p) == 0, state).otherwise(take(state, F.get(p, F.lit(0)))))
 
     start = F.struct(difference.alias("cells"), F.array().cast("array<bigint>").alias("digests"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(cells)), start, step)
+    return F.aggregate(F.sequence(F.lit(1), most), start, step)
 
 
-def differing(a: Column, b: Column, tries: tuple[int, ...] = TRIES) -> Column:
-    """The digests in one of two small sets but not in the other, by sketches of growing size."""
-    if not tries:
-        return F.concat(F.array_except(a, b), F.array_except(b, a))
-    cells = tries[0]
-    tried = peel(subtract(sketch(a, cells), sketch(b, cells)), cells)
-    done = lambda s: ~F.exists(s["cells"], lambda z: (z["c"] != 0) | (z["k"] != 0))
-    return _let(tried, lambda s: F.when(done(s), s["digests"]).otherwise(differing(a, b, tries[1:])))
+def tried(group: Column, cells: int) -> Column:
+    """A group (its two sides and ``n``, the number of differing digests once known) after a try with so many cells."""
+    a, b = group["a"], group["b"]
+    state = peel(subtract(sketch(a, cells), sketch(b, cells)), cells, F.size(a) + F.size(b))
+    done = _let(state, lambda s: F.when(~F.exists(s["cells"], lambda z: (z["c"] != 0) | (z["k"] != 0)), F.size(s["digests"])))
+    return F.when(group["n"].isNotNull(), group).otherwise(F.struct(a.alias("a"), b.alias("b"), done.alias("n")))
 
 
 def _dealt(digests: Column, groups: Column, side: Column) -> Column:
@@ -111,17 +118,37 @@ def _dealt(digests: Column, groups: Column, side: Column) -> Column:
     return F.flatten(F.transform(upto(side), outer))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard index of two digest sets, from the digests that peeling recovers."""
-    both = F.size(a) + F.size(b)
-    groups = F.greatest(F.lit(1), F.ceil(both / PER_GROUP)).cast("long")
+def _attempt(cells: int) -> Callable[[Column], Column]:
+    return lambda group: tried(group, cells)
+
+
+def grouped(a: Column, b: Column) -> Column:
+    """Two digest sets dealt to groups: array<struct<a, b, n>>; n is 0 where both sides are empty, else not known yet."""
+    groups = F.greatest(F.lit(1), F.ceil((F.size(a) + F.size(b)) / PER_GROUP)).cast("long")
+
+    def pair(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("a"), y.alias("b"), F.when((F.size(x) == 0) & (F.size(y) == 0), 0).alias("n"))
+
+    deal = lambda g: _let(F.ceil(F.sqrt(g)).cast("long"), lambda s: F.zip_with(_dealt(a, g, s), _dealt(b, g, s), pair))
+    return _let(groups, deal)
+
+
+def with_likeness(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """``df`` with, per name, the Jaccard index of two of its digest-set columns.
+
+    Tries follow each other as projections; a group that was recovered is passed on as it is.
+    """
+    out = df.withColumns({name: grouped(F.col(a), F.col(b)) for name, (a, b) in pairs.items()})
+    for cells in TRIES:
+        attempt = _attempt(cells)
+        out = out.withColumns({name: F.transform(name, attempt) for name in pairs})
 
-    def count(g: Column) -> Column:
-        side = F.ceil(F.sqrt(g)).cast("long")
-        per_group = _let(side, lambda s: F.zip_with(_dealt(a, g, s), _dealt(b, g, s), lambda x, y: F.when((F.size(x) == 0) & (F.size(y) == 0), 0).otherwise(F.size(differing(x, y)))))
-        return F.aggregate(per_group, F.lit(0), lambda n, k: n + k)
+    def index(name: str, a: str, b: str) -> Column:
+        exact = lambda g: F.coalesce(g["n"], F.size(F.array_except(g["a"], g["b"])) + F.size(F.array_except(g["b"], g["a"])))
+        differing, both = F.aggregate(name, F.lit(0), lambda n, g: n + exact(g)), F.size(a) + F.size(b)
+        return F.when(both == 0, 1.0).otherwise(_let(differing, lambda d: (both - d) / (both + d).cast("double")))
 
-    return F.when(both == 0, 1.0).otherwise(_let(_let(groups, count), lambda d: (both - d) / (both + d).cast("double")))
+    return out.withColumns({name: index(name, a, b) for name, (a, b) in pairs.items()})
 
 
 def fingerprint(digests: Column) -> Column:
@@ -160,5 +187,5 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     half = F.floor(n / 2).cast("int")
     edited = with_next(docs, id_col, text_col).select("id", "text", "next_text", n.alias("n_chars"), F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)).alias("edited"))
     sets = edited.select("id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), paragraphs(F.col("text")).alias("a"), paragraphs(F.col("edited")).alias("b"), paragraphs(F.col("next_text")).alias("c"))
-    a, b, c = (F.col(x) for x in "abc")
-    return sets.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(a).alias("fingerprint"), fingerprint(b).alias("edited_fingerprint"), likeness(a, b).alias("near_edited"), likeness(a, c).alias("near_next"))
+    liked = with_likeness(sets, {"near_edited": ("a", "b"), "near_next": ("a", "c")})
+    return liked.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("a")).alias("fingerprint"), fingerprint(F.col("b")).alias("edited_fingerprint"), "near_edited", "near_next")
