@@ -1,8 +1,8 @@
 """URL filters: longest-prefix rules, then naive Bayes over segmented host and path tokens.
 
 A host is cut at dots and hyphens; each part is segmented into words by unigram Viterbi.  The word counts come from the
-hosts and paths of the whole table: host parts and path words as they stand, so that ``cheap-pills`` teaches the words
-that split ``cheappills``.  Multinomial naive Bayes scores the segmented host words and the path words.
+whole table: path words, and the parts of hyphenated host labels, so that ``cheap-pills`` teaches the words that split
+``cheappills``; other host labels may be concatenations themselves and teach nothing.  Multinomial naive Bayes scores the segmented host words and the path words.
 
 Training rows are the pages whose url a rule decides (the rule gives the label; the tokens that the rule itself tests are
 left out, or every rule would only learn itself) and a list of seed words per class.  All counts are aggregated over the
@@ -117,10 +117,11 @@ def cell(token: str) -> int:
 
 def lexicon(urls: DataFrame, most: int = LEXICON) -> dict[str, int]:
     """Word counts of the parts of all hosts and paths: the ``most`` frequent ones, ties by word."""
-    words = urls.select(F.explode(F.regexp_extract_all(F.lower(F.concat_ws(" ", "host", "path")), F.lit(r"[a-zÀ-ɏ]{2,24}"), F.lit(0))).alias("w"))
+    marked = F.array_join(F.regexp_extract_all(F.lower("host"), F.lit(r"[^.]*-[^.]*"), F.lit(0)), " ")
+    words = urls.select(F.explode(F.regexp_extract_all(F.concat_ws(" ", marked, F.lower("path")), F.lit(r"[a-z\u00c0-\u024f]{2,24}"), F.lit(0))).alias("w"))
     top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
     counts = {r["w"]: r["count"] for r in top.collect()}
-    seeds = dict.fromkeys([*SEED_BLOCK, *SEED_ALLOW], 1)
+    seeds = dict.fromkeys([*SEED_BLOCK, *SEED_ALLOW], 20)
     return {w: counts.get(w, 0) + seeds.get(w, 0) for w in counts.keys() | seeds.keys()}
 
 
