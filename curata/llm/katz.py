@@ -36,7 +36,7 @@ from curata.llm.shared import written
 from curata.llm.textmap import chunks, lower_ascii, words_of
 
 #: Counts up to this are discounted; text of a block.
-K, BLOCK_BYTES = 5, 24 << 20
+K, BLOCK_BYTES = 5, 12 << 20
 
 #: The end token, which no word equals, and the number of the begin context.
 END, BEGIN = "\n", 0
@@ -196,16 +196,17 @@ class _Block:
     """A block with its word answers, and its distinct pairs."""
 
     def __init__(self, row: dict, answers: dict[int, bytes], model: Words, n: int) -> None:
-        self.held, self.lengths, self.tokens = unpack(row["tokens"])
-        self.held = self.held.astype(bool)
+        self.held, self.lengths, tokens = unpack(row["tokens"])
+        self.held, tokens = self.held.astype(bool), tokens.astype(np.int32)
         words, _ = unpack(row["words"])
         number, count = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
         for bucket, p in enumerate(_parted(_mix(words) % n, n)):
             if len(p):
                 number[p], count[p] = unpack(answers[bucket])
-        self.count = count[self.tokens]
+        self.count = count[tokens]
         number[count == 0] = 0  # unknown
-        w = number[self.tokens]
+        w = number[tokens]
+        del tokens
         u = np.empty_like(w)
         u[1:] = w[:-1]
         first = np.cumsum(self.lengths) - self.lengths
@@ -220,7 +221,10 @@ class _Block:
         # Distinct pairs by (context, word), with their training counts and the word's count.
         small, local = np.unique(np.concatenate([u[self.context], w[self.context]]), return_inverse=True)
         lu, lw = np.split(local, 2)
-        _, at, self.pair = np.unique(lu * len(small) + lw, return_index=True, return_inverse=True)
+        del local
+        _, at, pair = np.unique(lu * len(small) + lw, return_index=True, return_inverse=True)
+        self.pair = pair.astype(np.int32)
+        del lu, lw, pair
         at = self.context[at]
         train = ~np.repeat(self.held, self.lengths)[self.context]
         self.u, self.w, self.w_count = u[at], w[at], self.count[at]
