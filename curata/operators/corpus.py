@@ -17,7 +17,8 @@ def documents(labels: DataFrame, texts: DataFrame) -> DataFrame:
 
     Raises if a label has no text.
     """
-    last = texts.groupBy("filename").agg(F.max_by(F.struct("doc_text", "metadata"), F.monotonically_increasing_id()).alias("t"))
+    ordered = texts.withColumn("__order", F.monotonically_increasing_id())  # the order of the files read
+    last = ordered.groupBy("filename").agg(F.max_by(F.struct("doc_text", "metadata"), "__order").alias("t"))
     joined = labels.join(last, "filename", "left")
     if not joined.where("t.doc_text is null").isEmpty():
         raise ValueError("labels without text")

@@ -128,7 +128,7 @@ def test_cross_pool_rejected_rows_do_not_block(spark):
 def test_replay_and_keyed_split_count_alike(spark):
     docs = spark.range(95).select(F.concat(F.lit("f"), "id").alias("filename"), (F.col("id") % 2).cast("string").alias("k"))
     a = split.stratified_split(docs, "k", 0.1).where("split = 'validation'").count()
-    assert a == split.replay(docs, "k", 0.1).where("split = 'validation'").count() == 9
+    assert a == split.replay(docs, "k", 0.1).where("split = 'validation'").count() == 10
 
 
 def test_sweep_of_no_rows(spark):
@@ -156,15 +156,14 @@ def test_documents_take_the_last_text_and_need_one(spark):
         corpus.documents(labels, texts.where("filename = 'b'"))
 
 
-class Words:
-    def encode(self, text):
-        return text.split()
-
-    def decode(self, ids):
-        return " ".join(ids)
+def test_token_windows_cover_and_overlap(spark):
+    class Words:  # local, so it is sent to the workers as it is
+        def encode(self, text):
+            return text.split()
 
+        def decode(self, ids):
+            return " ".join(ids)
 
-def test_token_windows_cover_and_overlap(spark):
     docs = spark.createDataFrame([("a", "T", " ".join(map(str, range(50)))), ("b", "", "one two"), ("c", None, None)], "filename string, title string, doc_text string")
     out = corpus.token_windows(docs, Words, 16, 4).orderBy("filename", "window_index").collect()
     a = [r["window_text"].split("body: ")[1].split() for r in out if r["filename"] == "a"]
