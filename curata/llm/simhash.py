@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from curata.llm.components import components
 from curata.llm.shared import written
-from curata.llm.textmap import lower_ascii, map_texts, words_of
+from curata.llm.textmap import lower_ascii, map_texts, release, words_of
 
 
 def simhash(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -54,6 +54,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): the fingerprint of each row's whole text as a long."""
 
     def make():
+        release()
+
         def work(texts: list[str]) -> list:
             hashes = [np.array(shingle_hashes(t, size), np.uint64) for t in texts]
             lengths = np.array([len(h) for h in hashes], np.int64)

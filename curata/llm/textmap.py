@@ -7,6 +7,8 @@ a bounded number of bytes, and a null text counts as the empty text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -90,7 +92,7 @@ class WordCodes:
     ``most`` words, so its memory is bounded; what is dropped is encoded anew when met, never lost.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 500_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000) -> None:
         self.encode, self.most = encode, most
         self._begin()
 
@@ -143,6 +145,20 @@ _HELD: dict = {}
 def held(key: tuple, make: Callable[[], object]) -> object:
     """The object of a key in this worker process; another key's is given up, so a worker holds one table at most."""
     if key not in _HELD:
-        _HELD.clear()
+        release()
         _HELD[key] = make()
     return _HELD[key]
+
+
+def release() -> None:
+    """Gives up what this worker holds, and its freed memory to the system where the C library can.
+
+    Tasks that need no table call it, or workers that are used again would carry the last stage's table along.
+    """
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
