@@ -247,6 +247,36 @@ def test_near_texts_keep_one_of_each_group(spark):
     assert kept == {g[0] for g in groups} | {i for i, _ in loners}
 
 
+def test_near_texts_find_all_pairs_in_a_passage_of_thousands(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    passage = [word() for _ in range(150)]
+    rows = [(k, " ".join([*passage, *(word() for _ in range(50))])) for k in range(2000)]
+    for k in range(120):  # 176 of 196 shingles are shared: an index of 0.81
+        rows.append((5000 + k, " ".join([*rows[k][1].split()[:180], *(word() for _ in range(20))])))
+    kept = {r["doc_id"] for r in near_texts.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(2000))
+
+
+def test_near_texts_link_all_of_a_large_family(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    base, rows, sets = [word() for _ in range(100)], [], []
+    for k in range(150):  # single words changed: some pairs are similar, some are not
+        at = set(rng.sample(range(100), rng.choice((0, 1, 2, 3))))
+        words = [word() if i in at else w for i, w in enumerate(base)]
+        rows.append((k, " ".join(words)))
+        sets.append(set(zip(*(words[i:] for i in range(5)))))
+    root = list(range(150))
+    for a in range(150):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if r == hi else r for r in root]
+    kept = {r["doc_id"] for r in near_texts.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(root)
+
+
 def test_katz_against_a_dictionary_model(spark):
     rng = random.Random(4)
     texts = [" ".join(rng.choice("a b c d e f g h".split()) if rng.random() < 0.9 else f"r{rng.randrange(999)}" for _ in range(rng.randint(0, 60))) for _ in range(120)]
