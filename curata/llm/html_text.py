@@ -4,9 +4,9 @@ A page is read as a stream of tags and text.  Every text belongs to a block (wha
 to the path of open block-level tags from the root.  Per root-to-leaf path the text length, the link text length and the
 punctuation are summed; their ratios (text per tag, punctuation per character, share outside links) are smoothed over
 neighbouring blocks in page order, fused by product, and the paths whose fused ratio reaches a share of the page's best
-are content.  Elements that never hold the article (scripts, styles, forms, navigation, notices, comments and so on) are
+are content, and headings right before them.  Elements that never hold the article (scripts, styles, forms, navigation, notices, comments and so on) are
 left out by tag or by the words of their class, id and role.  Where ``article`` or ``main`` elements hold most of the
-fused weight, only they are searched.
+fused weight, only they are searched, by the same ratios: a list of links within an article is left out.
 
 Edge cases: null or empty html gives empty text; markup that is never closed ends with the page; character references
 are decoded in texts only; repeated pages give repeated results; an empty table gives an empty result; other columns
@@ -148,8 +148,17 @@ def main_text(page: str) -> str:
     if only:
         blocks = [b for b in blocks if b.inside]
     least = THRESHOLD * max(smooth[b.path] for b in blocks)
-    # A heading or list within the article belongs to it whatever its own ratio.
-    return "\n\n".join(b.text for b in blocks if only or smooth[b.path] >= least)
+    # A heading goes with the text that follows it, whatever its own ratio.
+    kept, after = [], False
+    for b in reversed(blocks):
+        good = smooth[b.path] >= least
+        if b.tag in _HEADING:
+            good = good or after
+        else:
+            after = good
+        if good:
+            kept.append(b.text)
+    return "\n\n".join(kept[::-1])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -171,6 +171,15 @@ def test_html():
     assert html_text.main_text("") == "" and html_text.main_text("<p>") == ""
 
 
+def test_html_ratios_hold_within_an_article():
+    long = "This sentence of the article is long enough, and it has its commas, to be seen as text. " * 4
+    links = "".join(f"<li><a href=/{k}>Another page to read number {k}</a></li>" for k in range(6))
+    page = f"<body><article><h1><a href=/>The head</a></h1><p>{long}</p><h2>Part</h2><p>Short one.</p><ul><li>first thing<li>second thing</ul><p>{long}</p><div><h3><a href=/all>More pages</a></h3><ol>{links}</ol></div></article></body>"
+    text = html_text.main_text(page)
+    assert "Another page" not in text and "More pages" not in text
+    assert all(x in text for x in ("The head", "Part", "Short one.", "first thing", "second thing")) and text.count(long.strip()) == 2
+
+
 def units(t):
     return {u for u in re.split(r"\n+|(?<=[.!?;:,|])\s+", t) if u.strip(" ")}
 
