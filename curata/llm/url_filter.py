@@ -5,8 +5,9 @@ whole table: path words, and the parts of hyphenated host labels, so that ``chea
 ``cheappills``; other host labels may be concatenations themselves and teach nothing.  Multinomial naive Bayes scores the segmented host words and the path words.
 
 Training rows are the pages whose url a rule decides (the rule gives the label; the tokens that the rule itself tests are
-left out, or every rule would only learn itself) and a list of seed words per class.  All counts are aggregated over the
-whole table, partially before the shuffle.
+left out, or every rule would only learn itself).  All counts are aggregated over the whole table, partially before the
+shuffle, and taken as they are with ``ALPHA`` added to each token; a token of no training page has no say.  A list of seed
+words per class counts like a few tokens each, so it speaks where there are no or few pages and gives way to many.
 
 Bounds: the lexicon holds the ``LEXICON`` most frequent words, a model size like any vocabulary; other strings are
 spelled by a length-based letter model, so every host is segmented.  Naive Bayes counts live in 2**16 hashed cells.
@@ -45,8 +46,8 @@ class Rule(NamedTuple):
 #: Words kept in the lexicon, cells of naive Bayes, longest word of the lexicon.
 LEXICON, CELLS, LONGEST = 50_000, 1 << 16, 24
 
-#: Tokens that each class's rows count for, smoothing tokens, tokens that a seed word counts for, log-odds of block before any token.
-RULE_MASS, MASS, SEED_WEIGHT, PRIOR = 100.0, 1000.0, 50.0, -2.0
+#: Added to each token's count, tokens that a seed word of a host counts for, log-odds of block before any token.
+ALPHA, SEED_WEIGHT, PRIOR = 1.0, 10.0, -2.0
 
 #: Seed words: what names of unwanted and of wanted sites are often made of.
 SEED_BLOCK = "adult bet bets bonus buy casino cheap cialis coupon crack deals drugs escort farm free gambling keygen loan loans lottery meds nude payday pharmacy pill pills poker porn replica rich sale sex slots spam viagra warez weight win xxx".split()
@@ -154,14 +155,14 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
     table = np.full((2, CELLS), 0.0)
     for r in trained.groupBy("block", "cell").agg(F.sum("n").alias("n")).collect():  # at most 2 * CELLS rows
         table[int(r["block"]), r["cell"]] += r["n"]
-    table *= RULE_MASS / np.maximum(1.0, table.sum(1, keepdims=True))  # both classes weigh the same; the prior is apart
-    pooled = 1.0 + MASS * table.sum(0) / max(1.0, table.sum())  # what both classes are smoothed towards
+    most = max(len(SEED_ALLOW), len(SEED_BLOCK))
     for k, words in enumerate((SEED_ALLOW, SEED_BLOCK)):
-        for w in words:
-            table[k, cell(w)] += SEED_WEIGHT
-            table[k, cell(f"/{w}")] += SEED_WEIGHT / 4
-    share = (table + pooled) / (table + pooled).sum(1, keepdims=True)
-    log_odds = np.log(share[1]) - np.log(share[0])
+        for w in words:  # both lists weigh the same
+            table[k, cell(w)] += SEED_WEIGHT * most / len(words)
+            table[k, cell(f"/{w}")] += SEED_WEIGHT / 4 * most / len(words)
+    seen = table.sum(0) > 0
+    share = (table + ALPHA) / (table.sum(1, keepdims=True) + ALPHA * seen.sum())
+    log_odds = np.where(seen, np.log(share[1]) - np.log(share[0]), 0.0)
 
     def scored(batches):
         for batch in batches:

@@ -160,6 +160,16 @@ def test_urls(spark):
     assert url_filter.Segmenter({"cheap": 9, "pills": 9, "in": 50}).split("cheappillsin") == ["cheap", "pills", "in"]
 
 
+def test_urls_learn_from_pages_beyond_the_seed_words(spark):
+    from curata.llm.registry import URL_RULES
+
+    hosts = ["zorvex.com/en/"] * 40 + ["quilby.net/de/"] * 40 + ["casino.net/de/"] * 400
+    asked = {"zorvex.io/fr/": "block", "quilby.io/fr/": "allow", "unheard.io/fr/": "allow", "poker.io/fr/": "block", "casino.io/fr/": "allow"}
+    rows = spark.createDataFrame([(k, f"http://{u}") for k, u in enumerate([*hosts, *asked])], "page_id long, url string")
+    got = {r["host"] + r["path"]: r["verdict"] for r in url_filter.judge(rows, URL_RULES).where("rule is null").collect()}
+    assert got == asked
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><header>Site</header><div class="cookie-notice">We use cookies.</div><nav><a href=x>Home</a></nav>
 <div id=main><h1>Head &amp; line</h1><p>First <b>bold</b> text, with a sentence.<br>And more of it, here.<p>Second paragraph, rather long &lt;tag&gt; text. <script>var x="</p>";</script>End.</div>
 <div class="comments"><p>A reader writes, at length, about it all.</p></div><aside>Side</aside><form><input><label>Name</label></form><footer>&copy; Site</footer></body>"""
