@@ -182,6 +182,15 @@ def ngram_hits(candidates: DataFrame, corpus: DataFrame, key: str, text: str, co
     return grams(candidates, text, key).join(known, ["h", "g"], "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
 
 
+def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """(id, size, g): of each set of (id, set) the rarest elements, one of which sets alike by ``threshold`` have in common."""
+    each = rows.select("id", F.size("set").alias("size"), F.explode("set").alias("g"))
+    freq = each.groupBy("g").agg(F.count("*").alias("f"))
+    ranked = each.join(freq, "g").groupBy("id").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("f", "g"))).alias("sorted"))
+    take = F.col("size") - F.ceil(F.col("size") * F.lit(threshold)).cast("int") + 1
+    return ranked.select("id", "size", F.explode(F.slice("sorted", F.lit(1), take)).alias("p")).select("id", "size", "p.g")
+
+
 def char_similarity(candidates: DataFrame, key: str, text: str, threshold: float = 0.85, n: int = 4) -> DataFrame:
     """(a, b, similarity) of pairs of distinct texts whose character n-gram sets have Jaccard index over ``threshold``.
 
@@ -190,11 +199,7 @@ def char_similarity(candidates: DataFrame, key: str, text: str, threshold: float
     before the join.
     """
     rows = candidates.groupBy(text).agg(F.min(key).alias("id")).select("id", char_ngrams(F.col(text), n).alias("set")).where("size(set) > 0")
-    each = rows.select("id", F.size("set").alias("size"), F.explode("set").alias("g"))
-    freq = each.groupBy("g").agg(F.count("*").alias("f"))
-    ranked = each.join(freq, "g").groupBy("id").agg(F.first("size").alias("size"), F.array_sort(F.collect_list(F.struct("f", "g"))).alias("sorted"))
-    take = F.col("size") - F.ceil(F.col("size") * F.lit(threshold)).cast("int") + 1
-    prefix = ranked.select("id", "size", F.explode(F.slice("sorted", F.lit(1), take)).alias("p")).select("id", "size", "p.g")
+    prefix = _prefixes(rows, threshold)
     x, y = prefix.alias("x"), prefix.alias("y")
     near = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold
     pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -204,6 +209,20 @@ def char_similarity(candidates: DataFrame, key: str, text: str, threshold: float
     return j.select("a", "b", (shared / (F.size("u") + F.size("v") - shared).cast("double")).alias("similarity")).where(F.col("similarity") > threshold)
 
 
+def like_prior(candidates: DataFrame, prior: DataFrame, key: str, text: str, prior_text: str, threshold: float = 0.85, n: int = 4) -> DataFrame:
+    """Keys of candidates whose character n-grams have a Jaccard index over ``threshold`` with those of a prior text."""
+    sides = [df.select(F.lit(old).alias("old"), F.col(col).alias("text")).where("text is not null").distinct() for df, col, old in ((candidates, text, "c"), (prior, prior_text, "p"))]
+    rows = sides[0].unionByName(sides[1]).select(F.concat("old", F.sha2("text", 256)).alias("id"), char_ngrams(F.col("text"), n).alias("set")).where("size(set) > 0")
+    prefix = _prefixes(rows, threshold)
+    x, y = prefix.where(F.col("id").startswith("c")).alias("x"), prefix.where(F.col("id").startswith("p")).alias("y")
+    near = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold
+    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    j = pairs.join(rows.select(F.col("id").alias("a"), F.col("set").alias("u")), "a").join(rows.select(F.col("id").alias("b"), F.col("set").alias("v")), "b")
+    shared = F.size(F.array_intersect("u", "v"))
+    hits = j.where(shared / (F.size("u") + F.size("v") - shared).cast("double") > threshold).select("a").distinct()
+    return candidates.select(key, F.concat(F.lit("c"), F.sha2(text, 256)).alias("a")).join(hits, "a", "left_semi").select(key).distinct()
+
+
 def proper_nouns(text: Column) -> Column:
     """Distinct spans of two or more capitalised words."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0)))
@@ -219,7 +238,7 @@ def first_failure(candidates: DataFrame, corpus: DataFrame, key: str, cues: list
     """Candidates with the first gate they fail, in order: schema, contamination, cues, entities, adjudication, diversity, scorer.
 
     Column gates come from one pass; the joins run on the rows that passed what comes before, so the costly gates see few.
-    ``prior`` are texts that candidates must not be too like (earlier candidates come first by key).
+    ``prior`` has the texts (doc_text) of the pool that candidates must not be too like, nor like candidates before them by key.
     """
     ok_schema = F.coalesce((strip(F.col("doc_text")) != "") & F.col("subclass").isin(head), F.lit(False))
     cue = F.lit(False)
@@ -231,6 +250,8 @@ def first_failure(candidates: DataFrame, corpus: DataFrame, key: str, cues: list
     dirty = ngram_hits(alive, corpus, key, "doc_text", "doc_text").select(key, F.lit(True).alias("__dirty"))
     named = entity_hits(alive.where("__cue"), corpus, key, "doc_text", "doc_text").select(key, F.lit(True).alias("__named"))
     like = char_similarity(alive.where("__cue and __verdict"), key, "doc_text").select(F.col("b").alias(key), F.lit(True).alias("__like")).distinct()
+    if prior is not None:
+        like = like.unionByName(like_prior(alive.where("__cue and __verdict"), prior, key, "doc_text", "doc_text").select(key, F.lit(True).alias("__like"))).distinct()
     j = base.join(dirty, key, "left").join(named, key, "left").join(like, key, "left")
     gate = (
         F.when(~F.col("__schema"), "schema").when(F.col("__dirty"), "contamination").when(~F.col("__cue"), "cues").when(F.col("__named"), "entities")

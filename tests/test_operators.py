@@ -118,6 +118,16 @@ def test_char_similarity_matches_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in enrich.char_similarity(rows, "id", "text", 0.6).collect()} == want
 
 
+def test_first_failure_compares_with_the_prior_pool(spark):
+    texts = ["the quick brown fox jumps over the lazy dog near the river", "a letter about the premium that was never paid in march", "the third text is like none of the others at all"]
+    rows = spark.createDataFrame([(k, t, "s", "accept", "s", 0.9) for k, t in enumerate([*texts, texts[0]])], "id long, doc_text string, subclass string, adjudication string, model_subclass string, model_probability double")
+    held = spark.createDataFrame([("nothing shared",)], "doc_text string")
+    prior = spark.createDataFrame([(texts[0] + "s",), (texts[1],), (None,), ("",)], "doc_text string")
+    failures = lambda **more: {r["id"]: r["first_failure"] for r in enrich.first_failure(rows, held, "id", ["the"], ["s"], **more).collect()}
+    assert failures(prior=prior) == {0: "diversity", 1: "diversity", 2: None, 3: "diversity"}
+    assert set(failures().values()) == {None}
+
+
 def test_cross_pool_rejected_rows_do_not_block(spark):
     schema = "filename string, content_sha256 string"
     pools = [spark.createDataFrame(r, schema) for r in ([("a", "1")], [("b", "1"), ("c", "2")], [("b", "3"), ("d", "2")])]
