@@ -9,9 +9,11 @@ left out, or every rule would only learn itself).  All counts are aggregated ove
 shuffle, and taken as they are with ``ALPHA`` added to each token; a token of no training page has no say.  A list of seed
 words per class counts like a few tokens each, so it speaks where there are no or few pages and gives way to many.
 
-Bounds: the lexicon holds the ``LEXICON`` most frequent words, a model size like any vocabulary; other strings are
-spelled by a length-based letter model, so every host is segmented.  Naive Bayes counts live in 2**16 hashed cells.
-Both have a fixed size whatever the input, which is what is sent to the executors.
+The lexicon is a written table of all words of up to ``LONGEST`` letters; each distinct part is joined to those of its
+substrings that are words, so its cut does not depend on a bound of the lexicon.  Other strings are spelled by a length-based
+letter model, so every host is segmented.
+
+Bounds: naive Bayes counts live in 2**16 hashed cells, a fixed size whatever the input, which is what is sent to the executors.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is judged by the class prior; ties in rule
 length go to the first rule; equal class scores allow; an empty table gives an empty result; other columns are ignored.
@@ -28,7 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from curata.llm.shared import written
 
 
 class Rule(NamedTuple):
@@ -43,8 +46,8 @@ class Rule(NamedTuple):
         return self.host + self.path
 
 
-#: Words kept in the lexicon, cells of naive Bayes, longest word of the lexicon.
-LEXICON, CELLS, LONGEST = 50_000, 1 << 16, 24
+#: Cells of naive Bayes, longest word of the lexicon, distinct parts that may be broadcast.
+CELLS, LONGEST, BROADCAST = 1 << 16, 24, 1_000_000
 
 #: Added to each token's count, tokens that a seed word of a host counts for, log-odds of block before any token.
 ALPHA, SEED_WEIGHT, PRIOR = 1.0, 10.0, -2.0
@@ -84,8 +87,8 @@ def parts_of(text: str) -> list[str]:
 class Segmenter:
     """Unigram Viterbi over a lexicon of word counts."""
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) + 1.0
+    def __init__(self, counts: dict[str, int], total: int | None = None) -> None:
+        total = (sum(counts.values()) if total is None else total) + 1.0
         self.cost = {w: -math.log(n / total) for w, n in counts.items() if len(w) <= LONGEST}
         self.base, self.letter = math.log(total) + 1.0, math.log(26.0)
         self.known: dict[str, list[str]] = {}
@@ -116,44 +119,70 @@ def cell(token: str) -> int:
     return zlib.crc32(token.encode()) % CELLS
 
 
-def lexicon(urls: DataFrame, most: int = LEXICON) -> dict[str, int]:
-    """Word counts of the parts of all hosts and paths: the ``most`` frequent ones, ties by word."""
+def lexicon(urls: DataFrame) -> DataFrame:
+    """(w, n): counts of the words of all paths and hyphenated host labels, and of the seed words."""
     marked = F.array_join(F.regexp_extract_all(F.lower("host"), F.lit(r"[^.]*-[^.]*"), F.lit(0)), " ")
-    words = urls.select(F.explode(F.regexp_extract_all(F.concat_ws(" ", marked, F.lower("path")), F.lit(r"[a-z\u00c0-\u024f]{2,24}"), F.lit(0))).alias("w"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
-    counts = {r["w"]: r["count"] for r in top.collect()}
-    seeds = dict.fromkeys([*SEED_BLOCK, *SEED_ALLOW], 20)
-    return {w: counts.get(w, 0) + seeds.get(w, 0) for w in counts.keys() | seeds.keys()}
+    words = urls.select(F.explode(F.regexp_extract_all(F.concat_ws(" ", marked, F.lower("path")), F.lit(r"[a-z\u00c0-\u024f]{2,}"), F.lit(0))).alias("w"), F.lit(1).alias("n"))
+    seeds = urls.sparkSession.createDataFrame([(w, 20) for w in dict.fromkeys([*SEED_BLOCK, *SEED_ALLOW])], "w string, n int")
+    return words.where(F.length("w") <= LONGEST).unionByName(seeds).groupBy("w").agg(F.sum("n").alias("n"))
 
 
-def tokens_of(host: str, path: str, segmenter: Segmenter, without: Rule | None = None) -> list[str]:
-    """Host words and path words (marked), less what ``without`` tests."""
+def parts_in(host: str, path: str, without: Rule | None = None) -> list[tuple[str, bool]]:
+    """Host parts and path parts (marked), less what ``without`` tests."""
     if without is not None:
         host = host[: len(host) - len(without.host)]
         path = path[len(without.path) :]
-    return [w for p in parts_of(host) for w in segmenter.split(p)] + [f"/{w}" for p in parts_of(path) for w in segmenter.split(p)]
+    return [(p, False) for p in parts_of(host)] + [(p, True) for p in parts_of(path)]
+
+
+def segmented(parts: DataFrame, words: DataFrame) -> DataFrame:
+    """(part, words): the cut of each of the distinct parts by the words of (w, n) among its substrings."""
+    total = int(words.agg(F.sum("n")).first()[0])
+
+    def substrings(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1000):
+                found = [(p, w) for p in batch.column(0).slice(lo, 1000).to_pylist() for w in {p[k:end] for k in range(len(p)) for end in range(k + 2, min(len(p), k + LONGEST) + 1)}]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(2)], names=["part", "w"])
+
+    def cut(batches):
+        for batch in batches:
+            out = [Segmenter({x["w"]: x["n"] for x in held or ()}, total).split(p) for p, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["part", "words"])
+
+    held = parts.mapInArrow(substrings, "part string, w string").join(words, "w").groupBy("part").agg(F.collect_list(F.struct("w", "n")).alias("held"))
+    return parts.join(held, "part", "left").select("part", "held").mapInArrow(cut, "part string, words array<string>")
 
 
 def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """Per row of ``pages``: its id, host, path, the rule that fits (else null), verdict and the log-odds of block."""
     host, path = host_path(pages[f"`{url_col}`"].cast("string"))
     urls = pages.select(pages[f"`{id_col}`"].alias("id"), host.alias("host"), path.alias("path")).withColumn("rule_at", rule_index(F.col("host"), F.col("path"), rules))
-    segmenter = Segmenter(lexicon(urls))
 
     def counted(batches):
-        counts: dict[tuple[bool, int], int] = {}
+        counts: dict[tuple, int] = {}
         for batch in batches:
             for h, p, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block = rules[k].verdict == "block"
-                for t in tokens_of(h, p, segmenter, rules[k]):
-                    key = (block, cell(t))
+                for part in parts_in(h, p, rules[k]):
+                    key = (rules[k].verdict == "block", *part)
                     counts[key] = counts.get(key, 0) + 1
-        items = list(counts.items())
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in items], pa.bool_()), pa.array([k[1] for k, _ in items], pa.int32()), pa.array([n for _, n in items], pa.int64())], names=["block", "cell", "n"])
+        kinds = (pa.bool_(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_arrays([*(pa.array([x[k] for x in counts], kind) for k, kind in enumerate(kinds)), pa.array(list(counts.values()), pa.int64())], names=["block", "part", "in_path", "n"])
 
-    trained = urls.where("rule_at is not null").select("host", "path", "rule_at").mapInArrow(counted, "block boolean, cell int, n long")
+    def dealt(batches):
+        for batch in batches:
+            found = [(h, p, *part) for h, p in zip(*(c.to_pylist() for c in batch.columns), strict=True) for part in parts_in(h, p)]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], kind) for k, kind in enumerate(kinds)], names=["host", "path", "part", "in_path"])
+
+    trained = written(urls.where("rule_at is not null").select("host", "path", "rule_at").mapInArrow(counted, "block boolean, part string, in_path boolean, n long").groupBy("block", "part", "in_path").agg(F.sum("n").alias("n")), "trained")
+    placed = written(urls.select("host", "path").distinct().mapInArrow(dealt, "host string, path string, part string, in_path boolean"), "placed")
+    parts = written(placed.select("part").unionByName(trained.select("part")).distinct(), "parts")
+    split = written(segmented(parts, written(lexicon(urls), "lexicon")), "split")
+    token = F.concat(F.when(F.col("in_path"), "/").otherwise(""), F.col("w"))
+    cells = trained.join(split, "part").select("block", "in_path", "n", F.explode("words").alias("w")).select("block", (F.crc32(F.encode(token, "utf-8")) % CELLS).cast("int").alias("cell"), "n")
     table = np.full((2, CELLS), 0.0)
-    for r in trained.groupBy("block", "cell").agg(F.sum("n").alias("n")).collect():  # at most 2 * CELLS rows
+    for r in cells.groupBy("block", "cell").agg(F.sum("n").alias("n")).collect():  # at most 2 * CELLS rows
         table[int(r["block"]), r["cell"]] += r["n"]
     most = max(len(SEED_ALLOW), len(SEED_BLOCK))
     for k, words in enumerate((SEED_ALLOW, SEED_BLOCK)):
@@ -166,11 +195,16 @@ def judge(pages: DataFrame, rules: list[Rule], id_col: str = "page_id", url_col:
 
     def scored(batches):
         for batch in batches:
-            out = [PRIOR + float(sum(log_odds[cell(t)] for t in tokens_of(h, p, segmenter))) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "log_odds"])
-
-    schema = T.StructType([*urls.schema.fields, T.StructField("log_odds", T.DoubleType())])
+            lists = batch.column(1).to_pylist()
+            sums = [[float(sum(log_odds[cell(mark + w)] for w in words)) for words in lists] for mark in ("", "/")]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in sums)], names=["part", "as_host", "as_path"])
+
+    scores = split.mapInArrow(scored, "part string, as_host double, as_path double")
+    few = F.broadcast(scores) if parts.count() <= BROADCAST else scores
+    each = placed.join(few, "part").select("host", "path", F.when(F.col("in_path"), F.col("as_path")).otherwise(F.col("as_host")).alias("s"))
+    summed = F.aggregate(F.array_sort(F.collect_list("s")), F.lit(PRIOR), lambda x, y: x + y)  # in one order, so the same each time
+    urls = urls.join(each.groupBy("host", "path").agg(summed.alias("odds")), ["host", "path"], "left").withColumn("log_odds", F.coalesce("odds", F.lit(PRIOR)))
     named = F.element_at(F.array(*[F.lit(r.name) for r in rules]), F.col("rule_at") + 1) if rules else F.lit(None).cast("string")
     fixed = F.element_at(F.array(*[F.lit(r.verdict) for r in rules]), F.col("rule_at") + 1) if rules else F.lit(None).cast("string")
     at = F.col("rule_at").isNotNull()
-    return urls.mapInArrow(scored, schema).select(F.col("id").alias(id_col), "host", "path", F.when(at, named).alias("rule"), F.when(at, fixed).otherwise(F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "log_odds")
+    return urls.select(F.col("id").alias(id_col), "host", "path", F.when(at, named).alias("rule"), F.when(at, fixed).otherwise(F.when(F.col("log_odds") > 0, "block").otherwise("allow")).alias("verdict"), "log_odds")

@@ -170,6 +170,17 @@ def test_urls_learn_from_pages_beyond_the_seed_words(spark):
     assert got == asked
 
 
+def test_urls_are_cut_by_rare_words_too(spark):
+    rng = random.Random(8)
+    many = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(52_000)]
+    paths = ["/".join(many[k : k + 100] * 2) for k in range(0, 52_000, 100)]
+    pages = [(k, f"http://x.net/de/{p}") for k, p in enumerate(paths)] + [(9000 + k, f"http://zorvexquilby.com/en/{w}") for k, w in enumerate(("zorvex", "quilby"))] + [(9999, "http://zorvex.io/")] + [(10_000 + k, "http://zorvexquilby.com/en/") for k in range(40)]
+    rows = spark.createDataFrame(pages, "page_id long, url string")
+    from curata.llm.registry import URL_RULES
+
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(rows, URL_RULES).where("page_id = 9999").collect()} == {9999: "block"}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style></head><body><header>Site</header><div class="cookie-notice">We use cookies.</div><nav><a href=x>Home</a></nav>
 <div id=main><h1>Head &amp; line</h1><p>First <b>bold</b> text, with a sentence.<br>And more of it, here.<p>Second paragraph, rather long &lt;tag&gt; text. <script>var x="</p>";</script>End.</div>
 <div class="comments"><p>A reader writes, at length, about it all.</p></div><aside>Side</aside><form><input><label>Name</label></form><footer>&copy; Site</footer></body>"""
