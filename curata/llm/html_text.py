@@ -5,7 +5,8 @@ to the path of open block-level tags from the root.  Per root-to-leaf path the t
 punctuation are summed; their ratios (text per tag, punctuation per character, share outside links) are smoothed over
 neighbouring blocks in page order, fused by product, and the paths whose fused ratio reaches a share of the page's best
 are content, and headings right before them.  Elements that never hold the article (scripts, styles, forms, navigation, notices, comments and so on) are
-left out by tag or by the words of their class, id and role.  Where ``article`` or ``main`` elements hold most of the
+left out by tag, where they are hidden, or by the words of their class, id and role; these words do not drop an element that
+holds the only ``article`` or ``main``, or most of the text of a page without one.  Where ``article`` or ``main`` elements hold most of the
 fused weight, only they are searched, by the same ratios: a list of links within an article is left out.
 
 Edge cases: null or empty html gives empty text; markup that is never closed ends with the page; character references
@@ -33,7 +34,9 @@ _NEVER = frozenset("nav header footer aside form button select menu dialog head
 _CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BOILER = re.compile(r"(?<![a-z])(?:nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|side-bar|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget|comments?|comment-?list|replies|respond|disqus|pagination|pager|toolbar|search\w*|form|copyright|skip\w*|hidden)(?![a-z])", re.I)
 _ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_STATE = re.compile(r"(?:has|with|without|no|is)[-_]", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*display\s*:\s*none|'[^']*display\s*:\s*none|[^\s"']*display:none))""", re.I)
+_QUOTED = re.compile(r"""("[^"]*"|'[^']*')""")
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？；：]")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -42,15 +45,27 @@ THRESHOLD, REACH = 0.02, 2
 
 
 class _Block:
-    __slots__ = ("text", "path", "link", "inside", "tag")
+    __slots__ = ("text", "path", "link", "inside", "tag", "doubts")
 
-    def __init__(self, text: str, path: str, link: int, inside: bool, tag: str) -> None:
-        self.text, self.path, self.link, self.inside, self.tag = text, path, link, inside, tag
+    def __init__(self, text: str, path: str, link: int, inside: bool, tag: str, doubts: tuple[int, ...]) -> None:
+        self.text, self.path, self.link, self.inside, self.tag, self.doubts = text, path, link, inside, tag, doubts
+
+
+def _hidden(attributes: str) -> bool:
+    """Whether an element is hidden by attribute or style; words within other quoted values do not count."""
+    kept = [x if k % 2 == 0 or parts[k - 1].rstrip().lower().endswith(("style=", "aria-hidden=")) else '""' for parts in [_QUOTED.split(attributes)] for k, x in enumerate(parts)]
+    return bool(_HIDDEN.search("".join(kept)))
+
+
+def _boiler(attributes: str) -> bool:
+    return any(_BOILER.search(x) and not _STATE.match(x) for value in _ATTRIBUTE.findall(attributes) for x in value.strip("\"'").split())
 
 
 def blocks_of(page: str) -> list[_Block]:
     """The page's text blocks outside elements that never hold the article."""
-    open_tags: list[tuple[str, bool, bool]] = []  # block-level: name, left out, inside article or main
+    open_tags: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # block-level: name, left out, inside article or main, doubtful elements
+    doubtful: list[list] = []  # elements of such words: characters, whether they hold article or main
+    clear = False  # an article or main outside them
     parts: list[str] = []
     link_depth = linked = 0
     out: list[_Block] = []
@@ -62,7 +77,9 @@ def blocks_of(page: str) -> list[_Block]:
             parts.clear()
             if text:
                 inside = bool(open_tags) and open_tags[-1][2]
-                out.append(_Block(text, "/".join(t[0] for t in open_tags), min(linked, len(text)), inside, open_tags[-1][0] if open_tags else ""))
+                out.append(_Block(text, "/".join(t[0] for t in open_tags), min(linked, len(text)), inside, open_tags[-1][0] if open_tags else "", open_tags[-1][3] if open_tags else ()))
+                for k in out[-1].doubts:
+                    doubtful[k][0] += len(text)
         linked = 0
 
     at, end = 0, len(page)
@@ -108,17 +125,27 @@ def blocks_of(page: str) -> list[_Block]:
             open_tags.pop()
         elif name not in _CLOSES_ITSELF and open_tags and open_tags[-1][0] == "p":
             open_tags.pop()
-        above = open_tags[-1] if open_tags else ("", False, False)
+        above = open_tags[-1] if open_tags else ("", False, False, ())
         attributes = m[3]
         inside = above[2] or name in ("article", "main")
-        boiler = above[1] or name in _NEVER and not (name == "header" and above[2])
+        boiler = above[1] or name in _NEVER and not (name in ("header", "figure") and above[2])
+        doubts = above[3]
         if not boiler and attributes and name not in ("html", "body", "article", "main"):
-            boiler = any(_BOILER.search(x) for x in _ATTRIBUTE.findall(attributes)) or bool(_HIDDEN.search(attributes))
+            boiler = _hidden(attributes)
+            if not boiler and _boiler(attributes):
+                doubts = (*doubts, len(doubtful))
+                doubtful.append([0, False])
+        if name in ("article", "main") and not boiler:
+            clear = clear or not doubts
+            for k in doubts:
+                doubtful[k][1] = True
         if attributes.endswith("/"):
             continue
-        open_tags.append((name, boiler, inside))
+        open_tags.append((name, boiler, inside, doubts))
     flush()
-    return out
+    total = sum(len(b.text) for b in out)
+    dropped = {k for k, (chars, holds) in enumerate(doubtful) if clear or not (holds or 2 * chars > total)}
+    return [b for b in out if dropped.isdisjoint(b.doubts)]
 
 
 def main_text(page: str) -> str:

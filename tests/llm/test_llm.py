@@ -201,6 +201,15 @@ def test_html_ratios_hold_within_an_article():
     assert all(x in text for x in ("The head", "Part", "Short one.", "first thing", "second thing")) and text.count(long.strip()) == 2
 
 
+def test_html_wrappers_do_not_lose_the_article():
+    text = "This sentence of the article is long enough, and it has its commas, to be seen as text."
+    for attributes in ('class="content has-sidebar"', 'style="overflow:hidden"', 'class="overflow-hidden"', 'class="site-header"', "id=search"):
+        assert text in html_text.main_text(f"<body><div {attributes}><article><p>{text}</p></article></div></body>"), attributes
+    for attributes in ("hidden", 'style="color:red; display: none"', 'aria-hidden="true"', 'class="comments"', 'class="site-header"'):
+        assert html_text.main_text(f"<body><article><p>{text}</p></article><div {attributes}><p>Gone, and gone.</p></div></body>") == text, attributes
+    assert "caption" in html_text.main_text(f"<body><article><p>{text}</p><figure><figcaption>A caption, short.</figcaption></figure><p>{text}</p></article></body>")
+
+
 def units(t):
     return {u for u in re.split(r"\n+|(?<=[.!?;:,|])\s+", t) if u.strip(" ")}
 
