@@ -27,15 +27,28 @@ def energy(logits: Column, temperature: float = 1.0) -> Column:
     return -(top / t + F.ln(total)) if temperature == 1.0 else -t * (top / t + F.ln(total))
 
 
-def log_prior(weights: list[float | None]) -> list[float]:
-    """log of the class shares behind inverse-frequency weights; a label without weight has the smallest."""
+def log_prior(weights: list[float | None], max_ratio: float = 0.0) -> list[float]:
+    """log of the class shares behind inverse-frequency weights; a label without weight has the smallest, and counts as such.
+
+    ``max_ratio`` above 0 bounds every share by so many times the smallest before shares are taken anew.
+    """
     import math
 
     inverse = [1.0 / w if w else None for w in weights]
-    total = sum(x for x in inverse if x)
-    known = [math.log(x / total) for x in inverse if x]
-    least = min(known) if known else 0.0
-    return [math.log(x / total) if x else least for x in inverse]
+    least = min((x for x in inverse if x), default=1.0)
+    shares = [x or least for x in inverse]
+    if max_ratio > 0:
+        shares = [min(x, least * max_ratio) for x in shares]
+    total = sum(shares) or 1.0
+    return [math.log(x / total) for x in shares]
+
+
+def loss_weights(weights: dict[str, float], labels: list[str], mode: str = "inverse", cap: float = 10.0) -> list[float]:
+    """Weights of a head's labels in order: as they are, their square roots (sqrt-inverse) or ones (none), within 1 / cap and cap."""
+    import math
+
+    change = {"sqrt-inverse": lambda w: math.sqrt(max(w, 1e-6)), "none": lambda w: 1.0}.get(mode, lambda w: w)
+    return [min(max(change(weights.get(x, 1.0)), 1.0 / cap), cap) for x in labels]
 
 
 def adjusted(logits: Column, prior: list[float], tau: float) -> Column:

@@ -9,10 +9,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# White space as Python's str.strip has it, and horizontal white space.
+# White space as Python's str.strip has it, and horizontal white space; runs of blank lines, words broken at line
+# ends, control characters, characters that are replaced or dropped, and spans of capitalised words.
 _SPACE = r"[\s\x1c-\x1f\x85\p{Z}]"
 _EDGE = f"^{_SPACE}+|{_SPACE}+$"
 _RUN = r"[\t\x0b\f\r\x1c-\x1f\x85\p{Z}]{2,}"
+_BLANKS = r"\n[ \t]*\n(?:[ \t]*\n)+"
+_HYPHEN = r"(?<=[A-Za-z])-\n(?=[A-Za-z])"
+_CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
+_REPLACED = ("\u00a0\u2028\u2029\u200b\u200c\u200d\ufeff\u2060", " \n\n")
+_SPAN = r"(?U)\b[A-Z][a-z]+(?:[^\S\n]+[A-Z][a-z]+)+\b"
 
 
 def strip(text: Column) -> Column:
@@ -60,45 +66,45 @@ def nfc(text: pd.Series) -> pd.Series:
 
 def compose(df: DataFrame, text_col: str) -> DataFrame:
     """``df`` with ``text_col`` in NFC.  Only texts with a character beyond U+02FF go to Python: the rest are NFC already."""
-    needs = F.coalesce(F.col(text_col).rlike("[\\x{0300}-\\x{10FFFF}]"), F.lit(False))
-    return df.where(~needs).unionByName(df.where(needs).withColumn(text_col, nfc(F.col(text_col))))
+    text = F.col(text_col)
+    needs = F.coalesce(text.rlike("[\\x{0300}-\\x{10FFFF}]"), F.lit(False))
+    return df.withColumn("__odd", F.when(needs, text)).withColumn("__nfc", nfc(F.col("__odd"))).withColumn(text_col, F.coalesce("__nfc", text_col)).drop("__odd", "__nfc")
 
 
-def _steps(text: Column) -> tuple[Column, Column]:
-    """The text before hyphens are joined, and after."""
+def _unwrapped(text: Column) -> Column:
+    """Line ends, invisible and control characters in order: the text before words broken at line ends are joined."""
     t = F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    t = F.translate(t, "\u00a0\u2028\u2029\u200b\u200c\u200d\ufeff\u2060", " \n\n")
-    t = F.regexp_replace(t, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ")
-    return t, F.regexp_replace(t, r"(?<=[A-Za-z])-\n(?=[A-Za-z])", "")
-
+    return F.regexp_replace(F.translate(t, *_REPLACED), _CONTROL, " ")
 
-_BLANKS = r"\n[ \t]*\n(?:[ \t]*\n)+"
 
-
-def clean(text: Column) -> Column:
-    """Deterministic cleaning of a composed text: line ends, invisible characters, hyphen wraps, blank runs, spaces."""
-    joined = F.regexp_replace(_steps(text)[1], _BLANKS, "\n\n")
+def _tidy(joined: Column) -> Column:
+    """Blank runs, spaces and empty ends of a text whose words are joined."""
 
     def line(raw: Column) -> Column:
         right = F.regexp_replace(raw, f"{_SPACE}+$", "")
         bare = strip(right)
         return F.when(bare.startswith("|") & bare.endswith("|"), right).otherwise(strip(F.regexp_replace(right, _RUN, " ")))
 
-    lines = F.array_join(F.transform(F.split(joined, "\n"), line), "\n")
+    lines = F.array_join(F.transform(F.split(F.regexp_replace(joined, _BLANKS, "\n\n"), "\n"), line), "\n")
     return F.regexp_replace(lines, r"^\n+|\n+$", "")
 
 
-def clean_stats(text: Column, original: Column) -> Column:
-    """struct<cleaned, raw_chars, cleaned_chars, collapsed_blank_runs, hyphen_unwraps, changed> of a composed text."""
-    before, after = _steps(text)
-    return F.struct(
-        clean(text).alias("cleaned"),
-        F.length(original).alias("raw_chars"),
-        F.length(clean(text)).alias("cleaned_chars"),
-        F.regexp_count(after, F.lit(_BLANKS)).alias("collapsed_blank_runs"),
-        F.regexp_count(before, F.lit(r"(?<=[A-Za-z])-\n(?=[A-Za-z])")).alias("hyphen_unwraps"),
-        (clean(text) != original).alias("changed"),
-    )
+def clean(text: Column) -> Column:
+    """Deterministic cleaning of a composed text: line ends, invisible characters, hyphen wraps, blank runs, spaces."""
+    return _tidy(F.regexp_replace(_unwrapped(text), _HYPHEN, ""))
+
+
+def with_clean_stats(df: DataFrame, text_col: str, original_col: str) -> DataFrame:
+    """``df`` with cleaned, raw_chars, cleaned_chars, collapsed_blank_runs, hyphen_unwraps and changed for a composed text; each step is worked out once."""
+    before, after, cleaned = F.col("__before"), F.col("__after"), F.col("cleaned")
+    steps = df.withColumn("__before", _unwrapped(F.col(text_col))).withColumn("__after", F.regexp_replace(before, _HYPHEN, "")).withColumn("cleaned", _tidy(after))
+    return steps.withColumns({
+        "raw_chars": F.length(original_col),
+        "cleaned_chars": F.length(cleaned),
+        "collapsed_blank_runs": F.regexp_count(after, F.lit(_BLANKS)),
+        "hyphen_unwraps": F.regexp_count(before, F.lit(_HYPHEN)),
+        "changed": cleaned != F.col(original_col),
+    }).drop("__before", "__after")
 
 
 def messy(text: Column) -> Column:
@@ -123,14 +129,29 @@ def word_ngrams(text: Column, n: int = 5) -> Column:
     return _let(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), grams)
 
 
+def gram_hashes(text: Column, n: int = 5) -> Column:
+    """Distinct hashes of ``word_ngrams``: words are hashed once and n of their hashes make one long."""
+
+    def grams(words: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.xxhash64(F.slice(words, k, n)))
+        return F.when(F.size(words) < n, F.array().cast("array<bigint>")).otherwise(F.array_distinct(each))
+
+    return _let(F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.xxhash64(w)), grams)
+
+
 def char_ngrams(text: Column, n: int = 4) -> Column:
-    """Distinct character n-grams of the lower-cased text with white space collapsed."""
+    """Distinct character n-grams of the lower-cased text with white space collapsed; blanks at the ends count."""
 
     def grams(letters: Column) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(letters) - n + 1), lambda k: F.array_join(F.slice(letters, k, n), ""))
         return F.when(F.size(letters) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
 
-    return _let(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), ""), grams)
+    return _let(F.split(F.regexp_replace(F.lower(text), f"{_SPACE}+", " "), ""), grams)
+
+
+def proper_nouns(text: Column) -> Column:
+    """Distinct spans of two or more capitalised words on one line."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(_SPAN), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -138,15 +159,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)).cast("double"), F.size(F.array_union(a, b)).cast("double")), F.lit(0.0))
 
 
-def cue_present(text: Column, cue: str) -> Column:
-    """Whether a cue occurs: long or spaced cues anywhere, others between word boundaries."""
-    import re
-
-    c = cue.strip().lower()
-    if not c:
-        return F.lit(False)
-    if len(c) > 24 or re.search(r"\s", c):
-        return F.contains(F.lower(text), F.lit(c))
-    left = r"(?<!\w)" if re.match(r"\w", c) else ""
-    right = r"(?!\w)" if re.search(r"\w$", c) else ""
-    return F.lower(text).rlike(f"(?U){left}\\Q{c}\\E{right}")
+def cue_present(text: Column, cue: Column | str) -> Column:
+    """Whether a cue occurs: blank never; long or spaced cues anywhere, others between word boundaries at word characters."""
+    low, c = F.lower(text), F.lower(strip(F.lit(cue) if isinstance(cue, str) else cue))
+    left = F.when(c.rlike(r"(?U)^\w"), r"(?<!\w)").otherwise("")
+    right = F.when(c.rlike(r"(?U)\w$"), r"(?!\w)").otherwise("")
+    quoted = F.concat(F.lit("\\Q"), F.replace(c, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    bounded = F.rlike(low, F.concat(F.lit("(?U)"), left, quoted, right))
+    return F.when(c == "", False).when((F.length(c) > 24) | c.rlike(_SPACE), F.contains(low, c)).otherwise(bounded)

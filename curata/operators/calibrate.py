@@ -9,7 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curata.functions.arrays import bin_of, finite, softmax, wilson_lower
+from curata.functions.arrays import argmax, bin_of, finite, softmax, wilson_lower
+from curata.operators.ranks import exact_percentiles
 from curata.settings import BAND_HIGH, BAND_LOW, EDGES, SWEEP_BAND_ECE, SWEEP_LOW, SWEEP_MIN_ROWS, SWEEP_RISK, SWEEP_STEPS
 
 
@@ -89,9 +90,15 @@ def temperature_grid(rows: DataFrame, grid: list[float]) -> DataFrame:
     return one.select(F.explode(F.array(*[F.struct(F.lit(t).alias("temperature"), F.col(f"t{k}").alias("nll")) for k, t in enumerate(grid)])).alias("x")).select("x.*")
 
 
+def ece_of_logits(rows: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """One row: n and the calibration error of (logits, label) under a temperature."""
+    probs = rows.select(softmax(F.col("logits"), temperature).alias("p"), "label")
+    return ece(probs.select(F.array_max("p").alias("conf"), (argmax(F.col("p")) == F.col("label")).alias("correct")))
+
+
 def fit_temperature(rows: DataFrame, low: float = 0.05, high: float = 10.0, rounds: int = 6) -> float:
     """The temperature of least loss by refining a grid; 1 for fewer than two rows or classes."""
-    seen = rows.agg(F.count("*").alias("n"), F.max(F.size("logits")).alias("k")).first()
+    seen = rows.agg(F.count("*").alias("n"), F.countDistinct("label").alias("k")).first()
     if seen["n"] < 2 or (seen["k"] or 0) < 2:
         return 1.0
     for _ in range(rounds):
@@ -103,8 +110,9 @@ def fit_temperature(rows: DataFrame, low: float = 0.05, high: float = 10.0, roun
 
 
 def ood_threshold(energies: DataFrame, share: float = 95.0) -> DataFrame:
-    """One row: the (100 - share) percentile of the energies, interpolated, for the probe below it."""
-    return energies.agg(F.percentile("energy", F.lit((100.0 - share) / 100.0)).alias("threshold"), F.count("*").alias("n"))
+    """One row: the (100 - share) percentile of the energies, interpolated, for the probe below it; and the rows."""
+    found = exact_percentiles(energies, F.col("energy"), [(100.0 - share) / 100.0])[0]
+    return energies.agg(F.lit(found).cast("double").alias("threshold"), F.count("*").alias("n"))
 
 
 def ood_flags(energies: DataFrame, key: str, threshold: float, above: bool = True) -> DataFrame:

@@ -17,13 +17,20 @@ def content_groups(docs: DataFrame, key: str = "content_sha256") -> DataFrame:
     return docs.where(F.col(key) != "").groupBy(key).agg(F.count("*").alias("n"), F.min("filename").alias("first_filename"), F.max("filename").alias("last_filename")).where("n > 1")
 
 
-def first_wins(docs: DataFrame, key: str = "content_sha256") -> DataFrame:
-    """Rows with ``reason``: of each hash the first by (filename, hash) is kept, the others are duplicate_sha.
+def first_wins(docs: DataFrame, key: str = "content_sha256", source: str = "content_sha256") -> DataFrame:
+    """Rows with ``reason``: of each hash one row is kept, the first by (filename, source hash); the others are duplicate_sha.
 
-    The first is an aggregate, joined back, so a hash that a third of all rows share is not sorted in one task.
+    The first is an aggregate, joined back, so a hash that a third of all rows share is not sorted in one task; only rows
+    that equal the first in name and source are numbered.  Rows without a hash are all kept: nothing is known of them.
     """
-    first = docs.groupBy(key).agg(F.min("filename").alias("first_filename"))
-    return docs.join(first, key).withColumn("reason", F.when(F.col("filename") > F.col("first_filename"), F.lit("duplicate_sha"))).drop("first_filename")
+    at = F.struct(F.coalesce("filename", F.lit("")).alias("f"), F.coalesce(source, F.lit("")).alias("s"))
+    tally = docs.where(F.coalesce(key, F.lit("")) != "").groupBy(key, at.alias("at")).agg(F.count("*").alias("n"))
+    first = tally.groupBy(key).agg(F.min("at").alias("__first"), F.min_by("n", "at").alias("__n"))
+    tagged = docs.join(first, key, "left").withColumn("reason", F.when(at > F.col("__first"), F.lit("duplicate_sha")))
+    tied = F.col("reason").isNull() & (F.coalesce("__n", F.lit(1)) > 1)
+    order = Window.partitionBy(key, "filename").orderBy(F.lit(0))
+    again = tagged.where(tied).withColumn("reason", F.when(F.row_number().over(order) > 1, F.lit("duplicate_sha")))
+    return tagged.where(~tied).unionByName(again).select(*docs.columns, "reason")
 
 
 def identity_guard(rows: DataFrame, canonical: DataFrame, key: str = "content_sha256") -> DataFrame:
@@ -45,15 +52,24 @@ def additive(rows: DataFrame, canonical: DataFrame, keys: tuple[str, ...] = ("co
     for i, k in enumerate(keys):
         out = out.join(known.select(F.col("hash").alias(f"__{i}")), F.col(k) == F.col(f"__{i}"), "left")
     hit = F.greatest(*[F.col(f"__{i}").isNotNull() for i in range(len(keys))]) if len(keys) > 1 else F.col("__0").isNotNull()
-    return out.withColumn("reason", F.when(hit, F.lit("duplicate_canonical"))).drop(*[f"__{i}" for i in range(len(keys))])
+    return out.withColumn("reason", F.when(hit, F.lit("duplicate_sha_canonical"))).drop(*[f"__{i}" for i in range(len(keys))])
 
 
-def filename_collisions(rows: DataFrame, canonical: DataFrame, key: str = "content_sha256") -> DataFrame:
-    """Rows with ``reason``: a canonical file name with other content is a collision."""
-    have = canonical.groupBy("filename").agg(F.min(key).alias("low"), F.max(key).alias("high"))
-    tagged = rows.join(have, "filename", "left")
-    same = (F.col(key) == F.col("low")) | (F.col(key) == F.col("high"))
-    return tagged.withColumn("reason", F.when(F.col("low").isNotNull() & ~same, F.lit("filename_collision"))).drop("low", "high")
+def filename_collisions(rows: DataFrame, canonical: DataFrame, key: str = "content_sha256", text_key: str | None = None) -> DataFrame:
+    """Rows with ``reason``: a canonical file name with other content is a collision.
+
+    A canonical row without a hash is opaque: it proves nothing.  Content is the same where the row's hash is one of the
+    file's hashes, or, with ``text_key``, where the row's text hash is one of the file's text hashes.
+    """
+    known = canonical.where(F.coalesce(key, F.lit("")) != "").select("filename", F.col(key).alias("h")).distinct()
+    named = known.select("filename").distinct().withColumn("__named", F.lit(True))
+    out = rows.join(named, "filename", "left").join(known.select("filename", F.col("h").alias(key), F.lit(True).alias("__same")), ["filename", key], "left")
+    same = F.col("__same").isNotNull()
+    if text_key:
+        texts = canonical.join(named, "filename", "left_semi").select("filename", text_key).distinct().withColumn("__text", F.lit(True))
+        out = out.join(texts, ["filename", text_key], "left")
+        same = same | F.col("__text").isNotNull()
+    return out.withColumn("reason", F.when(F.col("__named").isNotNull() & ~same, F.lit("filename_collision"))).select(*rows.columns, "reason")
 
 
 def cross_split_hashes(docs: DataFrame, key: str = "content_sha256") -> DataFrame:
@@ -61,44 +77,70 @@ def cross_split_hashes(docs: DataFrame, key: str = "content_sha256") -> DataFram
     return docs.where(F.col(key) != "").groupBy(key).agg(F.countDistinct("split").alias("n_splits"), F.count("*").alias("n")).where("n_splits > 1")
 
 
+def split_filenames(docs: DataFrame) -> DataFrame:
+    """File names in more than one split, with the splits in order."""
+    return docs.groupBy("filename").agg(F.array_sort(F.collect_set("split")).alias("splits")).where("size(splits) > 1")
+
+
+def validation_share(docs: DataFrame) -> DataFrame:
+    """Share of validation among the rows outside test, by class."""
+    return docs.where(F.col("split").isin("train", "validation")).groupBy("doc_type").agg(F.count("*").alias("n"), F.avg((F.col("split") == "validation").cast("double")).alias("share"))
+
+
 def title_groups(docs: DataFrame) -> DataFrame:
     """Folded titles that more than one row has: rows, distinct exact titles and the first."""
-    return docs.where("title <> ''").groupBy(fold(F.col("title")).alias("folded")).agg(F.count("*").alias("n"), F.countDistinct("title").alias("n_exact"), F.min("title").alias("exemplar")).where("n > 1")
+    return docs.where("title <> ''").groupBy(fold(F.col("title")).alias("folded")).agg(F.count("*").alias("n"), F.countDistinct("title").alias("n_exact"), F.min("title").alias("exemplar")).where("n > 1 and folded <> ''")
+
+
+def title_exemplars(docs: DataFrame, n: int = 3) -> DataFrame:
+    """The ``n`` largest groups of folded titles, then by title: rows, first title, first and last file, number of splits."""
+    rows = docs.withColumn("folded", fold(F.col("title"))).where("folded <> ''")
+    groups = rows.groupBy("folded").agg(F.count("*").alias("n"), F.min("title").alias("exemplar"), F.min("filename").alias("first_filename"), F.max("filename").alias("last_filename"), F.countDistinct("split").alias("n_splits"))
+    return groups.where("n > 1").orderBy(F.desc("n"), "folded").limit(n)
 
 
 def filename_leaks(docs: DataFrame) -> DataFrame:
-    """One row of counts: rows whose file name or title gives the label away."""
-    stem, title, label, kind = (fold(F.col(c)) for c in ("filename", "title", "subclass", "doc_type"))
-    shaped = F.col("title").rlike(r"(?i)^[^ ]+\.(htm|html|txt|pdf|doc|docx)$")
+    """One row of counts: titles that are or look like file names, and titles and texts that name the class or the subclass.
+
+    ``clean`` means that no title comes from a file name; texts may well name their own kind.
+    """
+    title, name = F.col("title"), F.col("filename")
+    folded = {c: fold(F.col(c)) for c in ("title", "doc_text", "doc_type", "subclass")}
+    stem = F.regexp_replace(name, r"(?<=[^.])\.[^.]*$", "")
+    names = lambda where, what: (folded[what] != "") & folded[where].contains(folded[what])
     flags = {
-        "n_rows": F.lit(True),
-        "label_in_filename": stem.contains(label) & (label != ""),
-        "label_in_title": title.contains(label) & (label != ""),
-        "type_in_filename": stem.contains(kind) & (kind != ""),
-        "title_is_filename": title == stem,
-        "title_like_filename": shaped,
-        "title_empty": F.col("title") == "",
+        "title_eq_filename": title == name,
+        "title_looks_like_filename": title.rlike(r"(?i)\.(?:htm|html|txt|pdf|docx?|xml)$") & ~title.contains(" "),
+        "title_eq_filename_stem": (F.trim(title) != "") & (stem != "") & ((title == stem) | ((folded["title"] != "") & (folded["title"] == fold(stem)))),
+        "title_contains_doc_type": names("title", "doc_type"),
+        "title_contains_subclass": names("title", "subclass"),
+        "doc_text_contains_doc_type": names("doc_text", "doc_type"),
+        "doc_text_contains_subclass": names("doc_text", "subclass"),
     }
-    return docs.agg(*[F.count_if(x).alias(c) for c, x in flags.items()])
+    counts = docs.agg(F.count("*").alias("n_rows"), *[F.count_if(x).alias(c) for c, x in flags.items()])
+    share = F.round(F.coalesce(F.try_divide(100.0 * F.col("title_eq_filename"), "n_rows"), F.lit(0.0)), 2)
+    return counts.withColumns({"title_eq_filename_pct": share, "clean": F.col("title_eq_filename") + F.col("title_looks_like_filename") + F.col("title_eq_filename_stem") == 0})
 
 
-def cross_pool(pools: list[DataFrame], key: str = "content_sha256") -> DataFrame:
-    """Pools in order of preference: a row whose hash or file an earlier pool's adopted row has is rejected.
+def cross_pool(pools: list[DataFrame], keys: tuple[str, ...] = ("content_sha256", "text_sha256")) -> DataFrame:
+    """Pools in order of preference: a row with a hash that an earlier pool's adopted row has is rejected.
 
     A fold of anti-joins, for only adopted rows block later pools; ``pool`` is the place in the list.
     """
     out, taken = None, None
     for k, pool in enumerate(pools):
-        rows = pool.withColumn("pool", F.lit(k))
-        if taken is None:
-            tagged = rows.withColumn("reason", F.lit(None).cast("string"))
+        tagged = pool.withColumn("pool", F.lit(k))
+        if taken is not None:
+            seen = taken.distinct()
+            for i, c in enumerate(keys):
+                tagged = tagged.join(seen.select(F.col("hash").alias(f"__{i}")), F.col(c) == F.col(f"__{i}"), "left")
+            hit = F.coalesce(*[F.col(f"__{i}") for i in range(len(keys))]).isNotNull()
+            tagged = tagged.withColumn("reason", F.when(hit, F.lit("duplicate_sha_cross_pool"))).drop(*[f"__{i}" for i in range(len(keys))])
         else:
-            by_hash = taken.select(key).where(F.col(key) != "").distinct().withColumn("__h", F.lit(True))
-            by_name = taken.select("filename").distinct().withColumn("__f", F.lit(True))
-            hit = F.when(F.col("__h"), "duplicate_sha").when(F.col("__f"), "duplicate_filename")
-            tagged = rows.join(by_hash, key, "left").join(by_name, "filename", "left").withColumn("reason", hit).drop("__h", "__f")
-        adopted = tagged.where("reason is null").select(key, "filename")
-        taken = adopted if taken is None else taken.unionByName(adopted)
+            tagged = tagged.withColumn("reason", F.lit(None).cast("string"))
+        for c in keys:
+            adopted = tagged.where("reason is null").select(F.col(c).alias("hash")).where("hash <> ''")
+            taken = adopted if taken is None else taken.unionByName(adopted)
         out = tagged if out is None else out.unionByName(tagged)
     return out
 
@@ -106,7 +148,7 @@ def cross_pool(pools: list[DataFrame], key: str = "content_sha256") -> DataFrame
 def family_seam(rows: DataFrame, canonical: DataFrame, family: str) -> DataFrame:
     """Rows with ``reason``: families that validation or test holds stay out of train."""
     held = canonical.where(F.col("split").isin("validation", "test")).select(family).where(F.col(family).isNotNull()).distinct().withColumn("__held", F.lit(True))
-    return rows.join(held, family, "left").withColumn("reason", F.when(F.col("__held"), F.lit("family_seam"))).drop("__held")
+    return rows.join(held, family, "left").withColumn("reason", F.when(F.col("__held"), F.lit("family_straddles_val_test"))).drop("__held")
 
 
 def ranked_cap(rows: DataFrame, limit: int, order: list, reason: str) -> DataFrame:
@@ -119,8 +161,3 @@ def ranked_cap(rows: DataFrame, limit: int, order: list, reason: str) -> DataFra
         return rows.withColumn("reason", F.lit(reason))
     last = rows.select(keys.alias("k")).orderBy("k").limit(limit).agg(F.max("k").alias("__last"))
     return rows.crossJoin(F.broadcast(last)).withColumn("reason", F.when(keys > F.col("__last"), F.lit(reason))).drop("__last")
-
-
-def rank_in(partition: list[str], order: list) -> Column:
-    """row_number over ``partition`` by ``order``."""
-    return F.row_number().over(Window.partitionBy(*partition).orderBy(*order))

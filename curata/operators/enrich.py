@@ -8,12 +8,12 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curata.functions.arrays import finite
-from curata.functions.text import char_ngrams, cue_present, fold, strip, word_ngrams
-from curata.operators.dedup import additive, filename_collisions, first_wins, rank_in, ranked_cap
+from curata.functions.text import char_ngrams, fold_label, gram_hashes, proper_nouns, strip, word_ngrams
+from curata.operators.dedup import additive, filename_collisions, first_wins, ranked_cap
 from curata.settings import ELIGIBILITY_FLOOR, F1_FLOOR, SIBLING_SHARE, TIER_CAPS
 
 #: Labels that the driver takes counts of at most.
@@ -48,9 +48,9 @@ def assemble(rows: DataFrame, head: list[str], *, doc_type: str, lineage: list[s
 
 
 def finalize(rows: DataFrame, canonical: DataFrame) -> Pool:
-    """Within-pool duplicates, then file name collisions, then duplicates of the canonical corpus."""
+    """Within-pool duplicates by text, then file name collisions, then duplicates of the canonical corpus by either hash."""
     rejected = None
-    for step in (lambda r: first_wins(r, "text_sha256"), lambda r: filename_collisions(r, canonical), lambda r: additive(r, canonical)):
+    for step in (lambda r: first_wins(r, "text_sha256"), lambda r: filename_collisions(r, canonical, text_key="text_sha256"), lambda r: additive(r, canonical)):
         pool = split_tagged(step(rows))
         rows = pool.kept
         rejected = pool.rejected if rejected is None else rejected.unionByName(pool.rejected)
@@ -90,12 +90,20 @@ def water_fill(available: dict[str, int], budget: int) -> dict[str, int]:
 
 
 def cut_by_slots(rows: DataFrame, slots: dict[str, int], order: list[Column], reason: str, label: str = "subclass", unknown: str | None = None) -> DataFrame:
-    """Rows with ``reason``: of each label the first ``slots`` rows by ``order`` are kept."""
+    """Rows with ``reason``: of each label the first ``slots`` rows by ``order`` are kept.
+
+    Only the order's columns are ranked, and at most a label's slots of a partition go on to the ranking of the label, so no
+    task sorts all rows of a label, nor their texts.
+    """
     spark = rows.sparkSession
-    table = spark.createDataFrame(list(slots.items()) or [("", 0)], f"{label} string, __slot int")
-    ranked = rows.withColumn("__rank", rank_in([label], order)).join(F.broadcast(table), label, "left")
-    why = F.when(F.col("__slot").isNull(), F.lit(unknown or reason)).when(F.col("__rank") > F.col("__slot"), F.lit(reason))
-    return ranked.withColumn("reason", why).drop("__rank", "__slot")
+    table = spark.createDataFrame(list(slots.items()) or [("", 0)], f"{label} string, __slot int")  # at most LABELS rows
+    at = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)])
+    few = rows.select(label, at.alias("at"), F.pmod(F.xxhash64(at), F.lit(64)).alias("part")).join(table, label)
+    first = few.withColumn("r", F.row_number().over(Window.partitionBy(label, "part").orderBy("at"))).where(F.col("r") <= F.col("__slot"))
+    last = first.withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy("at"))).where(F.col("r") <= F.col("__slot")).groupBy(label).agg(F.max("at").alias("__last"))
+    joined = rows.join(table, label, "left").join(last, label, "left")
+    why = F.when(F.col("__slot").isNull(), F.lit(unknown or reason)).when(F.col("__last").isNull() | (at > F.col("__last")), F.lit(reason))
+    return joined.withColumn("reason", why).select(*rows.columns, "reason")
 
 
 def balance(rows: DataFrame, budget: int, reason: str = "pseudo_balance_cut", label: str = "subclass") -> DataFrame:
@@ -114,7 +122,10 @@ def mixture_caps(counts: dict[str, int], global_share: float = 0.3, label_share:
     """
     bound = {k: max(0, min(synthetic_cap(n, tiers), math.floor(n * label_share / (1 - label_share)))) for k, n in counts.items()}
     room = math.floor(sum(counts.values()) * global_share / (1 - global_share))
-    level = max((x for x in range(max(bound.values(), default=0) + 1) if sum(min(b, x) for b in bound.values()) <= room), default=0)
+    level, high = 0, max(bound.values(), default=0)
+    while level < high:  # the sum grows with the level
+        middle = (level + high + 1) // 2
+        level, high = (middle, high) if sum(min(b, middle) for b in bound.values()) <= room else (level, middle - 1)
     out = {k: min(b, level) for k, b in bound.items()}
     left = room - sum(out.values())
     for k in sorted((k for k in out if out[k] < bound[k]), key=lambda k: (out[k] - bound[k], k))[: max(0, left)]:
@@ -122,64 +133,79 @@ def mixture_caps(counts: dict[str, int], global_share: float = 0.3, label_share:
     return out
 
 
-def apply_mixture(rows: DataFrame, counts: dict[str, int], **shares: float) -> DataFrame:
+def apply_mixture(rows: DataFrame, counts: dict[str, int], **caps: float | tuple) -> DataFrame:
     """Rows with ``reason``: each label's first rows by file name within its allowance."""
-    return cut_by_slots(rows, mixture_caps(counts, **shares), [F.col("filename")], "mixture_cap", unknown="no_authentic_support")
+    return cut_by_slots(rows, mixture_caps(counts, **caps), [F.col("filename")], "mixture_cap", unknown="no_authentic_support")
 
 
-def tail_cap(rows: DataFrame, limit: int, priority: list[str], label: str = "subclass") -> DataFrame:
+def tail_cap(rows: DataFrame, limit: int, priority: list[str], label: str = "subclass", reason: str = "tail_cap") -> DataFrame:
     """Rows with ``reason``: a cap that keeps labels by priority, unlisted ones last, then by file name."""
     rank = F.coalesce(F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(label)), F.lit(0))
-    return ranked_cap(rows, limit, [F.when(rank == 0, len(priority) + 1).otherwise(rank), F.col("filename")], "tail_cap")
+    return ranked_cap(rows, limit, [F.when(rank == 0, len(priority) + 1).otherwise(rank), F.col("filename")], reason)
+
 
+def eligibility(counts: DataFrame, f1: DataFrame | None = None, confused: DataFrame | None = None) -> DataFrame:
+    """(doc_type, subclass, n) with cap, reasons (comma-joined) and eligible.
 
-def eligibility(counts: DataFrame, f1: DataFrame | None = None) -> DataFrame:
-    """(doc_type, subclass, n) with cap, reasons (comma-joined) and eligible."""
+    ``f1`` is (subclass, f1); ``confused`` is (subclass) of those that a neighbour is often taken for.
+    """
     n = F.col("n")
     cap = F.lit(0)
     for t, m in sorted(TIER_CAPS):
         cap = F.when(n >= t, n * m).otherwise(cap)
     total = counts.groupBy("doc_type").agg(F.sum("n").alias("total"))
-    j = counts.join(F.broadcast(total), "doc_type")
-    j = j.join(F.broadcast(f1), "subclass", "left") if f1 is not None else j.withColumn("f1", F.lit(None).cast("double"))
+    j = counts.join(total, "doc_type")
+    j = j.join(f1.select("subclass", "f1"), "subclass", "left") if f1 is not None else j.withColumn("f1", F.lit(None).cast("double"))
+    j = j.join(confused.select("subclass").distinct().withColumn("confused", F.lit(True)), "subclass", "left") if confused is not None else j.withColumn("confused", F.lit(None).cast("boolean"))
     share = n / F.col("total")
-    why = F.array_compact(F.array(F.when(n < ELIGIBILITY_FLOOR, "below_authentic_floor"), F.when(F.col("f1") < F1_FLOOR, "macro_f1_below_floor"), F.when((share > 0) & (share < SIBLING_SHARE), "sibling_underrepresented")))
-    out = j.withColumn("cap", cap).withColumn("why", why)
+    flags = [(n < ELIGIBILITY_FLOOR, "below_authentic_floor"), (F.col("f1") < F1_FLOOR, "macro_f1_below_floor"), (F.col("confused"), "high_confusion_with_neighbor"), ((share > 0) & (share < SIBLING_SHARE), "sibling_underrepresented")]
+    out = j.withColumn("cap", cap).withColumn("why", F.array_compact(F.array(*[F.when(c, code) for c, code in flags])))
     fit = (F.size("why") > 0) & (F.col("cap") > 0)
     zero = ~fit & (F.col("cap") == 0) & (n >= ELIGIBILITY_FLOOR)
     return out.select("doc_type", "subclass", "n", "cap", fit.alias("eligible"), F.array_join(F.when(zero, F.array_append("why", "tier_cap_zero")).otherwise(F.col("why")), ",").alias("reasons"))
 
 
-def pseudo_labels(rows: DataFrame, head: list[str], doc_conf: float = 0.97, sub_conf: float = 0.9, agreement: float = 0.9) -> DataFrame:
+def title_leaks(title: Column, label: Column) -> Column:
+    """Whether a title names the label: both folded to words, one inside the other."""
+    t, token = fold_label(F.coalesce(title, F.lit(""))), fold_label(F.coalesce(label, F.lit("")))
+    return (t != "") & (token != "") & t.contains(token)
+
+
+def pseudo_labels(rows: DataFrame, head: list[str], doc_conf: float = 0.95, sub_conf: float = 0.9, agreement: float = 0.9, doc_type: str = "correspondence") -> DataFrame:
     """Rows with ``reason`` and label_confidence: finite inclusive confidence gates, class, text, label and title checks."""
     d, s, a = (finite(F.col(c)) for c in ("doc_type_conf", "subclass_conf", "agreement"))
-    title, label = fold(F.coalesce("title", F.lit(""))), fold(F.col("pred_subclass"))
     reason = (
         F.when(d.isNull() | s.isNull() | a.isNull(), "missing_confidence")
-        .when(~F.coalesce("pred_doc_type", F.lit("")).isin("", "correspondence"), "not_correspondence")
+        .when(~F.coalesce("pred_doc_type", F.lit("")).isin("", doc_type), f"not_{doc_type}")
         .when(d < doc_conf, "below_doc_type_conf")
         .when(s < sub_conf, "below_subclass_conf")
         .when(a < agreement, "below_agreement")
         .when(strip(F.coalesce("doc_text", F.lit(""))) == "", "missing_doc_text")
         .when(~F.coalesce(F.col("pred_subclass").isin(head), F.lit(False)), "unresolvable_subclass")
-        .when((label != "") & title.contains(label), "leak_title")
+        .when(title_leaks(F.col("title"), F.col("pred_subclass")), "leak_title")
     )
     return rows.withColumn("reason", reason).withColumn("label_confidence", F.bround(F.least(d, s, a), 4))
 
 
-# Candidate gates: each gives (key, gate, detail) rows of failures, or a column.
+# Similarity and overlap with a corpus, as joins.
 
 
 def ngram_hits(candidates: DataFrame, corpus: DataFrame, key: str, text: str, corpus_text: str, n: int = 5) -> DataFrame:
     """Candidates that share a word n-gram with the corpus, and how many.
 
-    Both sides' distinct n-grams are hashed, so the shuffle carries longs; the corpus side is built once.
+    The join is on 64-bit hashes of the n-grams; only what it finds is spelled out and compared, so the shuffle of whole
+    texts' n-grams carries longs.
     """
-    def grams(df: DataFrame, col: str, *keys: str) -> DataFrame:
-        return df.select(*keys, F.explode(word_ngrams(F.col(col), n)).alias("g")).select(*keys, F.xxhash64("g").alias("h"), "g")
+    def spelled(df: DataFrame, col: str, hit: DataFrame, *keys: str) -> DataFrame:
+        grams = df.select(*keys, F.explode(word_ngrams(F.col(col), n)).alias("g"))
+        hashed = F.xxhash64(F.transform(F.split("g", " "), lambda w: F.xxhash64(w)))
+        return grams.withColumn("h", hashed).join(hit, "h", "left_semi")
 
-    known = grams(corpus, corpus_text).select("h", "g").distinct()
-    return grams(candidates, text, key).join(known, ["h", "g"], "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
+    theirs = corpus.select(F.explode(gram_hashes(F.col(corpus_text), n)).alias("h")).distinct()
+    ours = candidates.select(key, F.explode(gram_hashes(F.col(text), n)).alias("h")).join(theirs, "h", "left_semi")
+    hit = ours.select("h").distinct()
+    named = candidates.join(ours.select(key).distinct(), key, "left_semi")
+    return spelled(named, text, hit, key).join(spelled(corpus, corpus_text, hit).select("g").distinct(), "g", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
 
 
 def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
@@ -191,41 +217,40 @@ def _prefixes(rows: DataFrame, threshold: float) -> DataFrame:
     return ranked.select("id", "size", F.explode(F.slice("sorted", F.lit(1), take)).alias("p")).select("id", "size", "p.g")
 
 
+def _alike(x: DataFrame, y: DataFrame, sets: DataFrame, threshold: float, order: Column) -> DataFrame:
+    """(a, b, similarity) over ``threshold``: pairs of two prefix tables that share an element, verified with whole sets."""
+    near = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold
+    pairs = x.alias("x").join(y.alias("y"), (F.col("x.g") == F.col("y.g")) & order & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    j = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("u")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("v")), "b")
+    shared = F.size(F.array_intersect("u", "v"))
+    return j.select("a", "b", (shared / (F.size("u") + F.size("v") - shared).cast("double")).alias("similarity")).where(F.col("similarity") > threshold)
+
+
 def char_similarity(candidates: DataFrame, key: str, text: str, threshold: float = 0.85, n: int = 4) -> DataFrame:
-    """(a, b, similarity) of pairs of distinct texts whose character n-gram sets have Jaccard index over ``threshold``.
+    """(a, b, similarity) of texts whose character n-gram sets have a Jaccard index over ``threshold``.
 
     Prefix filter: sets sorted by the n-grams' frequency in the corpus share one of their rarest elements if they are
-    that alike, so only rare n-grams are joined; candidates are verified with whole sets.  Equal texts are one row
-    before the join.
+    that alike, so only rare n-grams are joined; candidates are verified with whole sets.  Equal texts are one row before
+    the join, named by their least key; each other row of such a text is paired with that one, at similarity 1.
     """
-    rows = candidates.groupBy(text).agg(F.min(key).alias("id")).select("id", char_ngrams(F.col(text), n).alias("set")).where("size(set) > 0")
+    named = candidates.where(F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    least = named.groupBy("text").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    rows = least.select(F.col("rep").alias("id"), char_ngrams(F.col("text"), n).alias("set")).where("size(set) > 0")
     prefix = _prefixes(rows, threshold)
-    x, y = prefix.alias("x"), prefix.alias("y")
-    near = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    sets = rows.select("id", "set")
-    j = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("u")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("v")), "b")
-    shared = F.size(F.array_intersect("u", "v"))
-    return j.select("a", "b", (shared / (F.size("u") + F.size("v") - shared).cast("double")).alias("similarity")).where(F.col("similarity") > threshold)
+    different = _alike(prefix, prefix, rows, threshold, F.col("x.id") < F.col("y.id"))
+    repeated = least.where((F.col("n") > 1) & (F.size(char_ngrams(F.col("text"), n)) > 0))
+    copies = named.join(repeated, "text").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return different.unionByName(copies)
 
 
 def like_prior(candidates: DataFrame, prior: DataFrame, key: str, text: str, prior_text: str, threshold: float = 0.85, n: int = 4) -> DataFrame:
-    """Keys of candidates whose character n-grams have a Jaccard index over ``threshold`` with those of a prior text."""
+    """(key, similarity): candidates whose character n-grams have a Jaccard index over ``threshold`` with a prior text's, and the greatest."""
     sides = [df.select(F.lit(old).alias("old"), F.col(col).alias("text")).where("text is not null").distinct() for df, col, old in ((candidates, text, "c"), (prior, prior_text, "p"))]
     rows = sides[0].unionByName(sides[1]).select(F.concat("old", F.sha2("text", 256)).alias("id"), char_ngrams(F.col("text"), n).alias("set")).where("size(set) > 0")
     prefix = _prefixes(rows, threshold)
-    x, y = prefix.where(F.col("id").startswith("c")).alias("x"), prefix.where(F.col("id").startswith("p")).alias("y")
-    near = F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * threshold
-    pairs = x.join(y, (F.col("x.g") == F.col("y.g")) & near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    j = pairs.join(rows.select(F.col("id").alias("a"), F.col("set").alias("u")), "a").join(rows.select(F.col("id").alias("b"), F.col("set").alias("v")), "b")
-    shared = F.size(F.array_intersect("u", "v"))
-    hits = j.where(shared / (F.size("u") + F.size("v") - shared).cast("double") > threshold).select("a").distinct()
-    return candidates.select(key, F.concat(F.lit("c"), F.sha2(text, 256)).alias("a")).join(hits, "a", "left_semi").select(key).distinct()
-
-
-def proper_nouns(text: Column) -> Column:
-    """Distinct spans of two or more capitalised words."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"), F.lit(0)))
+    alike = _alike(prefix.where(F.col("id").startswith("c")), prefix.where(F.col("id").startswith("p")), rows, threshold, F.lit(True))
+    most = alike.groupBy("a").agg(F.max("similarity").alias("similarity"))
+    return candidates.select(key, F.concat(F.lit("c"), F.sha2(text, 256)).alias("a")).join(most, "a").select(key, "similarity").distinct()
 
 
 def entity_hits(candidates: DataFrame, corpus: DataFrame, key: str, text: str, corpus_text: str) -> DataFrame:
@@ -234,32 +259,11 @@ def entity_hits(candidates: DataFrame, corpus: DataFrame, key: str, text: str, c
     return candidates.select(key, F.explode(proper_nouns(F.col(text))).alias("span")).join(known, "span", "left_semi").groupBy(key).agg(F.count("*").alias("n_shared"))
 
 
-def first_failure(candidates: DataFrame, corpus: DataFrame, key: str, cues: list[str], head: list[str], probability: float = 0.5, prior: DataFrame | None = None) -> DataFrame:
-    """Candidates with the first gate they fail, in order: schema, contamination, cues, entities, adjudication, diversity, scorer.
-
-    Column gates come from one pass; the joins run on the rows that passed what comes before, so the costly gates see few.
-    ``prior`` has the texts (doc_text) of the pool that candidates must not be too like, nor like candidates before them by key.
-    """
-    ok_schema = F.coalesce((strip(F.col("doc_text")) != "") & F.col("subclass").isin(head), F.lit(False))
-    cue = F.lit(False)
-    for c in cues:
-        cue = cue | cue_present(F.col("doc_text"), c)
-    p = finite(F.col("model_probability"))
-    base = candidates.withColumn("__schema", ok_schema).withColumn("__cue", cue if cues else F.lit(True)).withColumn("__verdict", F.coalesce(F.col("adjudication"), F.lit("")) == "accept").withColumn("__scorer", F.coalesce((F.col("model_subclass") == F.col("subclass")) & (p >= probability), F.lit(False)))
-    alive = base.where("__schema")
-    dirty = ngram_hits(alive, corpus, key, "doc_text", "doc_text").select(key, F.lit(True).alias("__dirty"))
-    named = entity_hits(alive.where("__cue"), corpus, key, "doc_text", "doc_text").select(key, F.lit(True).alias("__named"))
-    like = char_similarity(alive.where("__cue and __verdict"), key, "doc_text").select(F.col("b").alias(key), F.lit(True).alias("__like")).distinct()
-    if prior is not None:
-        like = like.unionByName(like_prior(alive.where("__cue and __verdict"), prior, key, "doc_text", "doc_text").select(key, F.lit(True).alias("__like"))).distinct()
-    j = base.join(dirty, key, "left").join(named, key, "left").join(like, key, "left")
-    gate = (
-        F.when(~F.col("__schema"), "schema").when(F.col("__dirty"), "contamination").when(~F.col("__cue"), "cues").when(F.col("__named"), "entities")
-        .when(~F.col("__verdict"), "adjudication").when(F.col("__like"), "diversity").when(~F.col("__scorer"), "scorer")
-    )
-    return j.select(key, gate.alias("first_failure"))
+def spot_audit(rows: DataFrame, authentic: DataFrame, least: int = 5, label: str = "subclass") -> DataFrame:
+    """(label, n): adopted rows of labels with fewer than ``least`` authentic rows (label, n), which a person has to look at."""
+    return rows.groupBy(label).agg(F.count("*").alias("n")).join(authentic.select(label, F.col("n").alias("__n")), label, "left").where(F.coalesce("__n", F.lit(0)) < least).select(label, "n")
 
 
-def spot_audit(verdicts: DataFrame, least: int = 5) -> DataFrame:
+def verdict_shares(verdicts: DataFrame, least: int = 5) -> DataFrame:
     """Labels with enough audited rows: rows and the share accepted."""
     return verdicts.groupBy("subclass").agg(F.count("*").alias("n"), F.avg((F.col("verdict") == "accept").cast("double")).alias("accepted")).where(F.col("n") >= least)

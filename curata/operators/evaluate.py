@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curata.operators.ranks import edges, exact_percentiles, running
+
 
 def confusion(rows: DataFrame) -> DataFrame:
     """Counts by (gt, pred)."""
@@ -86,35 +88,101 @@ def paired_bootstrap(a: DataFrame, b: DataFrame, key: str = "filename", resample
 
 
 def rank_auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """One row: area under the ROC curve by mid-ranks of distinct scores."""
-    tallies = rows.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count("*").alias("n"))
-    ranked = tallies.withColumn("before", F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)))
-    mid = F.coalesce("before", F.lit(0)) + (F.col("n") + 1) / 2
+    """One row: area under the ROC curve by mid-ranks of distinct scores, summed range by range of the scores."""
+    tallies = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count("*").alias("n"))
+    ranked = running(tallies, score, "n", edges(rows, F.col(score), 200))
+    mid = F.col("before") + (F.col("n") + 1) / 2
     one = ranked.agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.sum(F.col("pos") * mid).alias("ranks"))
     return one.select(F.try_divide(F.col("ranks") - F.col("pos") * (F.col("pos") + 1) / 2, F.col("pos") * (F.col("n") - F.col("pos"))).alias("auc"), "n")
 
 
-def ale_curve(rows: DataFrame, feature: str, outcome: str, covariate: str, n_bins: int = 10) -> DataFrame:
-    """Accumulated local effects of a feature on an outcome under a ridge surrogate with square and interaction.
+#: Blocks of rows that the bootstrap of effects draws from, folds of the fit's quality, draws, penalty of the surrogate.
+BLOCKS, FOLDS, DRAWS, PENALTY = 200, 5, 200, 1.0
+
 
-    The surrogate's normal equations are sums over all rows; only they reach the driver.
+def ale_curve(rows: DataFrame, feature: str, outcome: str, covariate: str, n_bins: int = 10, key: str = "filename", seed: int = 42) -> DataFrame:
+    """Accumulated local effects of a feature on an outcome under a ridge surrogate, with 5 to 95 % bands and the fit's R2.
+
+    The surrogate has both standardized variables, their squares and their product.  Rows are dealt to BLOCKS by a hash of
+    the key; a block's normal equations and its sums per bin are one aggregation, and only they (a row per block and bin)
+    reach the driver.  Bands come from drawing blocks with replacement, R2 from fits without each fold of blocks.
     """
     x, z, y = (F.col(c).cast("double") for c in (feature, covariate, outcome))
-    terms = [F.lit(1.0), x, z, x * x, x * z]
-    sums = rows.agg(*[F.sum(a * b).alias(f"g{i}_{j}") for i, a in enumerate(terms) for j, b in enumerate(terms)], *[F.sum(a * y).alias(f"r{i}") for i, a in enumerate(terms)]).first()
-    k = len(terms)
-    gram = np.array([[sums[f"g{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)]) + 1e-6 * np.eye(k)
-    w = [float(v) for v in np.linalg.solve(gram, np.array([sums[f"r{i}"] or 0.0 for i in range(k)]))]
-    edges = sorted(set(rows.agg(F.percentile(x, F.array(*[F.lit(q / n_bins) for q in range(n_bins + 1)])).alias("q")).first()["q"] or []))
-    if len(edges) < 2:
-        return rows.sparkSession.createDataFrame([], "bin int, upper double, n long, effect double")
-    place = F.size(F.filter(F.array(*[F.lit(e) for e in edges[1:-1]]), lambda e: e < x))
-    lo, hi = F.get(F.array(*[F.lit(e) for e in edges]), F.col("bin")), F.get(F.array(*[F.lit(e) for e in edges]), F.col("bin") + 1)
-    local = rows.select(place.alias("bin"), z.alias("z")).groupBy("bin").agg(F.count("*").alias("n"), F.avg("z").alias("z"))
-    step = F.lit(w[1]) * (hi - lo) + F.lit(w[3]) * (hi * hi - lo * lo) + F.lit(w[4]) * F.col("z") * (hi - lo)
-    curve = local.select("bin", hi.alias("upper"), "n", step.alias("step")).withColumn("raw", F.sum("step").over(Window.orderBy("bin")))
-    middle = curve.agg((F.sum(F.col("raw") * F.col("n")) / F.sum("n")).alias("middle"))
-    return curve.crossJoin(F.broadcast(middle)).select("bin", "upper", "n", (F.col("raw") - F.col("middle")).alias("effect"))
+    cuts = sorted({q for q in exact_percentiles(rows, x, [k / n_bins for k in range(n_bins + 1)]) if q is not None})
+    schema = "bin int, upper double, n long, effect double, low double, high double, r2 double"
+    if len(cuts) < 2:
+        return rows.sparkSession.createDataFrame([], schema)
+    place = F.lit(0)
+    for k, c in enumerate(cuts[1:-1]):
+        place = F.when(x > c, k + 1).otherwise(place)
+    block = F.pmod(F.xxhash64(F.col(key)), F.lit(BLOCKS)).cast("int")
+    power = lambda v, k: F.lit(1.0) if k == 0 else v if k == 1 else F.pow(v, F.lit(float(k)))
+    moments = [(a, b) for a in range(5) for b in range(5 - a)]
+    sums = [F.sum(power(x, a) * power(z, b)).alias(f"m{a}{b}") for a, b in moments] + [F.sum(power(x, a) * power(z, b) * y).alias(f"r{a}{b}") for a, b in moments if a + b < 3] + [F.sum(y * y).alias("yy")]
+    kept = rows.where(x.isNotNull() & z.isNotNull() & y.isNotNull())
+    found = kept.groupBy(block.alias("block"), place.alias("bin")).agg(*sums).collect()
+    m, r, yy = np.zeros((BLOCKS, len(cuts) - 1, 5, 5)), np.zeros((BLOCKS, len(cuts) - 1, 3, 3)), np.zeros(BLOCKS)
+    for f in found:
+        at = f["block"], f["bin"]
+        yy[f["block"]] += f["yy"]
+        for a, b in moments:
+            m[at][a, b] = f[f"m{a}{b}"]
+            if a + b < 3:
+                r[at][a, b] = f[f"r{a}{b}"]
+    terms = [(0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1)]
+    everything = m.sum((0, 1))
+    n = everything[0, 0]
+    mean = np.array([everything[1, 0], everything[0, 1]]) / n
+    spread = np.sqrt(np.maximum(np.array([everything[2, 0], everything[0, 2]]) / n - mean**2, 0.0)) + 1e-9
+    change = _standardized(terms, mean, spread)
+
+    def fit(m_: np.ndarray, r_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        gram = change @ np.array([[m_[a + c, b + d] for c, d in terms] for a, b in terms]) @ change.T
+        right = change @ np.array([r_[a, b] for a, b in terms])
+        penalty = PENALTY * np.eye(len(terms))
+        penalty[0, 0] = 0.0
+        return np.linalg.solve(gram + penalty, right), gram, right
+
+    def curve(w: np.ndarray, bins: np.ndarray) -> np.ndarray:
+        """Accumulated and centred effects from the sums of each bin."""
+        raw = change.T @ w  # weights of the terms as they are
+        count = np.maximum(bins[:, 0, 0], 1.0)
+        lo, hi = np.array(cuts[:-1]), np.array(cuts[1:])
+        step = raw[1] * (hi - lo) + raw[3] * (hi**2 - lo**2) + raw[5] * (hi - lo) * bins[:, 0, 1] / count
+        whole = np.concatenate([[0.0], np.cumsum(np.where(bins[:, 0, 0] > 0, step, 0.0))])
+        middle = (whole[:-1] + whole[1:]) / 2
+        return whole[1:] - (middle * bins[:, 0, 0]).sum() / max(1.0, bins[:, 0, 0].sum())
+
+    main = curve(fit(everything, r.sum((0, 1)))[0], m.sum(0))
+    random = np.random.default_rng(seed)
+    draws = []
+    for _ in range(DRAWS):
+        times = np.bincount(random.integers(0, BLOCKS, BLOCKS), minlength=BLOCKS).astype(float)
+        bins = np.einsum("k,kbij->bij", times, m)
+        draws.append(curve(fit(bins.sum(0), np.einsum("k,kbij->ij", times, r))[0], bins))
+    low, high = np.percentile(np.array(draws), [5, 95], axis=0)
+    total_r, left = r.sum((0, 1)), 0.0
+    for fold in range(FOLDS):
+        mine = slice(fold, BLOCKS, FOLDS)
+        w = fit(everything - m[mine].sum((0, 1)), total_r - r[mine].sum((0, 1)))[0]
+        _, gram, right = fit(m[mine].sum((0, 1)), r[mine].sum((0, 1)))
+        left += yy[mine].sum() - 2 * w @ right + w @ gram @ w
+    spread_y = yy.sum() - total_r[0, 0] ** 2 / n
+    r2 = float(1 - left / spread_y) if spread_y > 0 else 0.0
+    count = m.sum(0)[:, 0, 0]
+    return rows.sparkSession.createDataFrame([(k, float(cuts[k + 1]), int(count[k]), float(main[k]), float(low[k]), float(high[k]), r2) for k in range(len(cuts) - 1)], schema)
+
+
+def _standardized(terms: list[tuple[int, int]], mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Matrix from the terms x^a z^b to those of the standardized variables."""
+    from math import comb
+
+    out = np.zeros((len(terms), len(terms)))
+    for k, (a, b) in enumerate(terms):
+        for c in range(a + 1):
+            for d in range(b + 1):
+                out[k, terms.index((c, d))] += comb(a, c) * (-mean[0]) ** (a - c) * comb(b, d) * (-mean[1]) ** (b - d) / spread[0] ** a / spread[1] ** b
+    return out
 
 
 def gate_rows(metrics: DataFrame) -> DataFrame:
@@ -159,3 +227,32 @@ def score_with(docs: DataFrame, make_scorer, schema: str, key: str = "filename",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.list_(pa.float64())), pa.array(errors, pa.string())], names=["key", "scores", "error"])
 
     return docs.select(key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
+
+
+def score_pool(pool: DataFrame, make_scorer, key: str = "filename", title: str = "title", text: str = "doc_text") -> DataFrame:
+    """(key, doc_type_conf, subclass_conf, agreement, scored, score_reason) of a pool without labels.
+
+    The injected scorer maps (title, text) to a dict with confidence, subclass_confidence, agreement and, where it gives none,
+    a reason.  A row that raises, or has no confidence, is kept with zero scores and says why.
+    """
+    schema = "doc_type_conf double, subclass_conf double, agreement double, scored boolean, score_reason string"
+
+    def run(batches):
+        scorer = make_scorer()
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for name, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                try:
+                    found = scorer(name or "", body or "")
+                    known = found.get("confidence") is not None
+                    values = [float(found.get(c) or 0.0) for c in ("confidence", "subclass_confidence", "agreement")]
+                    why = "" if known else str(found.get("reason") or "unscored")
+                except Exception as e:  # the row is kept and tells why
+                    known, values, why = False, [0.0, 0.0, 0.0], f"error:{type(e).__name__}"
+                for column, v in zip(out, [*values, known, why], strict=True):
+                    column.append(v)
+            kinds = (pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[key, *(x.split()[0] for x in schema.split(", "))])
+
+    source = pool.select(key, title, text)
+    return source.mapInArrow(run, f"{key} {source.schema[key].dataType.simpleString()}, {schema}")
