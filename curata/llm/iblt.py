@@ -33,8 +33,9 @@ from curata.llm.shared import written
 #: Cells of a third for each digest, and at least; steps of peeling of a try; cells of the fingerprint.
 LOAD, LEAST, STEPS, FIXED = 0.7, 24, 10, 12
 
-#: Ids of a run (a run of over four times as many rows is cut), and rows that may be broadcast.
-RUN, BROADCAST = 1024, 500_000
+#: Ids of a run (a run of over four times as many rows is cut), rows that may be broadcast, and partitions of texts for each
+#: usual shuffle partition: the cells of a text take about ten times the text's bytes.
+RUN, BROADCAST, SPREAD = 256, 500_000, 8
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -178,13 +179,14 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         marked = marked.join(F.broadcast(crowded) if n <= BROADCAST else crowded, "run", "left").withColumn("slice", F.when(F.col("crowded"), cut).otherwise(F.col("slice"))).drop("crowded")
     order = ("key", F.xxhash64("text"), "text")
     table = _runs(marked.select("run", "slice", "key"))
-    if table.count() <= BROADCAST:
-        table = F.broadcast(table)
-    joined = marked.join(table, ["run", "slice"])
+    runs = table.count()
+    joined = marked.join(F.broadcast(table) if runs <= BROADCAST else table, ["run", "slice"])
     own = F.struct(F.col("run").alias("at"), F.col("slice").alias("part"), F.lit(True).alias("own"))
     again = F.struct(F.col("before_run").alias("at"), F.col("before_slice").alias("part"), F.lit(False).alias("own"))
     first = F.col("key") == F.col("first")
     placed = joined.select("id", "key", "text", F.explode(F.when(first, F.array(own, again)).otherwise(F.array(own))).alias("p")).select("id", "key", "text", "p.*")
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.repartition(max(usual, min(runs, SPREAD * usual)), "at", "part")
     window = Window.partitionBy("at", "part").orderBy(F.col("own").desc(), *order)
     return placed.withColumn("next_text", F.lead("text").over(window)).withColumn("row", F.row_number().over(window)).where("own").select("at", "part", "row", "id", "text", "next_text")
 
