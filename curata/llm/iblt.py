@@ -177,18 +177,19 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     if n:
         cut = F.col("key").bitwiseAND(F.lit(RUN - 1)) * (1 << 20) + F.shiftright(F.xxhash64("text"), 44) + (1 << 19)
         marked = marked.join(F.broadcast(crowded) if n <= BROADCAST else crowded, "run", "left").withColumn("slice", F.when(F.col("crowded"), cut).otherwise(F.col("slice"))).drop("crowded")
-    order = ("key", F.xxhash64("text"), "text")
+    order = ("key", F.col("missing").desc(), F.xxhash64("text"), "text")
     table = _runs(marked.select("run", "slice", "key"))
     runs = table.count()
     joined = marked.join(F.broadcast(table) if runs <= BROADCAST else table, ["run", "slice"])
     own = F.struct(F.col("run").alias("at"), F.col("slice").alias("part"), F.lit(True).alias("own"))
     again = F.struct(F.col("before_run").alias("at"), F.col("before_slice").alias("part"), F.lit(False).alias("own"))
     first = F.col("key") == F.col("first")
-    placed = joined.select("id", "key", "text", F.explode(F.when(first, F.array(own, again)).otherwise(F.array(own))).alias("p")).select("id", "key", "text", "p.*")
+    # Only what orders the rows is carried along, so all that is made of them shares one shuffle.
+    placed = joined.select("key", F.col("id").isNull().alias("missing"), "text", F.explode(F.when(first, F.array(own, again)).otherwise(F.array(own))).alias("p")).select("key", "missing", "text", "p.*")
     usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartition(max(usual, min(runs, SPREAD * usual)), "at", "part")
     window = Window.partitionBy("at", "part").orderBy(F.col("own").desc(), *order)
-    return placed.withColumn("next_text", F.lead("text").over(window)).withColumn("row", F.row_number().over(window)).where("own").select("at", "part", "row", "id", "text", "next_text")
+    return placed.withColumn("next_text", F.lead("text").over(window)).withColumn("row", F.row_number().over(window)).where("own").select("at", "part", "row", F.when(~F.col("missing"), F.col("key")).alias("id"), "text", "next_text")
 
 
 def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
