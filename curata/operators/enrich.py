@@ -108,7 +108,7 @@ def cut_by_slots(rows: DataFrame, slots: dict[str, int], order: list[Column], re
 
 def balance(rows: DataFrame, budget: int, reason: str = "pseudo_balance_cut", label: str = "subclass") -> DataFrame:
     """Rows with ``reason``: a budget dealt over the labels by water-fill, best confidence first."""
-    return cut_by_slots(rows, water_fill(counts_of(rows, label), budget), [F.desc("label_confidence"), F.col("filename")], reason, label)
+    return cut_by_slots(rows, water_fill(counts_of(rows, label), budget), [-F.col("label_confidence"), F.col("filename")], reason, label)
 
 
 def synthetic_cap(n: int, tiers: tuple[tuple[int, int], ...] = TIER_CAPS) -> int:

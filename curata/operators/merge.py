@@ -90,19 +90,27 @@ def llm_intake(text: Column, messy: Column, tokens: Column, status: Column, rout
     return chain.otherwise(~(F.coalesce(eligible, F.lit(False)) & F.coalesce(doc_type.isin(allowed), F.lit(False))))
 
 
+def context_fit(text: Column, tokens: Column | None = None, max_chars: int = MAX_CHARS, max_tokens: int = MAX_TOKENS) -> Column:
+    """Whether a text fits the context: its characters, and its tokens where they are known."""
+    fits = F.length(text) <= max_chars
+    return fits if tokens is None else fits & F.coalesce(tokens <= max_tokens, F.lit(True))
+
+
 def intake_gate(docs: DataFrame, mode: str, allowed: list[str], threshold: float = 0.9) -> DataFrame:
     """``docs`` with the seven checks, failure codes, verdict and recommended action.
 
     Needs method, context_fit, coverage, messy, n_guard_failures, confidence, triage_vocab_ok, section_map_ok, doc_type,
-    sorter_type and reviewer_type.  A value that is missing or not a number fails its check.
+    sorter_type and reviewer_type.  A value that is missing fails its check; a coverage or confidence that is there but is no
+    number makes the whole hand-off invalid, with F7 as its one failure.
     """
     def sure(c: Column) -> Column:
         return F.coalesce(c, F.lit(False))
 
     doc, sorter, reviewer = F.col("doc_type"), F.col("sorter_type"), F.col("reviewer_type")
-    conf = F.col("confidence").try_cast("double")
+    coverage, conf = F.col("coverage").try_cast("double"), F.col("confidence").try_cast("double")
+    broken = (F.col("coverage").isNotNull() & coverage.isNull()) | (F.col("confidence").isNotNull() & conf.isNull())
     checks = {
-        "P1": sure((F.col("method") == "bert") & F.col("context_fit") & (F.col("coverage") == 1.0)),
+        "P1": sure((F.col("method") == "bert") & F.col("context_fit") & (coverage == 1.0)),
         "P2": sure(~F.coalesce(F.col("messy"), F.lit(False)) & (F.coalesce(F.col("n_guard_failures"), F.lit(0)) == 0)),
         "P3": sure(~F.isnan(conf) & (conf >= threshold)),
         "P4": sure(F.col("triage_vocab_ok")),
@@ -110,28 +118,36 @@ def intake_gate(docs: DataFrame, mode: str, allowed: list[str], threshold: float
         "P6": sure(doc.isin(allowed)) if mode == "skip" else sorter.isNotNull() & sorter.eqNullSafe(doc),
         "P7": reviewer.isNull() | reviewer.eqNullSafe(doc) | sure(reviewer == sorter),
     }
-    out = docs.withColumns(checks)
-    p = {k: F.col(k) for k in checks}
+    out = docs.withColumns(checks | {"__broken": broken})
+    p, invalid = {k: F.col(k) for k in checks}, F.col("__broken")
     codes = [("F1", ~p["P1"]), ("F2", ~p["P2"]), ("F3", ~p["P3"]), ("F4", ~p["P4"] | ~p["P5"]), ("F5", ~p["P6"]), ("F6", ~p["P7"])]
-    good = p["P1"] & p["P2"] & p["P3"] & p["P4"] & p["P5"] & p["P6"] & p["P7"]
+    good = ~invalid & p["P1"] & p["P2"] & p["P3"] & p["P4"] & p["P5"] & p["P6"] & p["P7"]
     done = {"skip": "accept_bert", "verify": "verify_with_sorter"}.get(mode, "force_llm_sorter")
     return out.withColumns({
-        "failures": F.array_join(F.array_compact(F.array(*[F.when(c, code) for code, c in codes])), ","),
+        "failures": F.when(invalid, "F7").otherwise(F.array_join(F.array_compact(F.array(*[F.when(c, code) for code, c in codes])), ",")),
         "verdict": F.when(good, "PASS").otherwise("FAIL"),
-        "recommended_action": F.when(~p["P7"], "escalate_reviewer").when(~p["P6"], "force_llm_sorter").when(good, done).otherwise("force_llm_sorter"),
+        "recommended_action": F.when(invalid, "force_llm_sorter").when(~p["P7"], "escalate_reviewer").when(~p["P6"], "force_llm_sorter").when(good, done).otherwise("force_llm_sorter"),
         "eligible_for_sorter_skip": good,
-    })
+    }).drop("__broken")
+
 
+def handoff(docs: DataFrame, key: str = "filename", model: dict[str, str] | None = None) -> DataFrame:
+    """(key, handoff): the nested hand-off object as JSON; a column that the documents lack has its default."""
+    def have(name: str, default: object, kind: str) -> Column:
+        return F.coalesce(F.col(name).cast(kind), F.lit(default).cast(kind)) if name in docs.columns else F.lit(default).cast(kind)
 
-def handoff(docs: DataFrame, key: str = "filename") -> DataFrame:
-    """(key, handoff): the nested hand-off object as JSON."""
+    chars, tokens = have("chars", 0, "int"), have("token_estimate", 0, "int")
     body = F.struct(
-        F.lit("bert").alias("method"),
-        F.struct("route", "reason").alias("routing"),
-        F.struct(F.col("doc_type").alias("primary_doc_class"), "subclass", "confidence").alias("triage"),
-        F.struct("chars", "n_windows", (F.col("chars") <= MAX_CHARS).alias("context_fit")).alias("quality"),
+        F.lit(1).alias("schema_version"),
+        have("method", "bert", "string").alias("method"),
+        F.struct(F.col("route").alias("path"), "reason", F.lit(MAX_TOKENS).alias("bert_context_limit_tokens"), chars.alias("doc_chars"), tokens.alias("doc_token_estimate")).alias("routing"),
+        F.struct(F.col("doc_type").alias("primary_doc_class"), F.col("subclass").alias("doc_subclass"), "confidence", have("gist", "", "string").alias("gist"), (F.col("keywords") if "keywords" in docs.columns else F.array().cast("array<string>")).alias("keywords")).alias("triage"),
+        (F.col("sections") if "sections" in docs.columns else F.array().cast("array<string>")).alias("sections"),
+        F.struct(have("messy", False, "boolean").alias("messy"), ((chars <= MAX_CHARS) & (tokens <= MAX_TOKENS)).alias("context_fit"), have("coverage", 0.0, "double").alias("coverage"), have("section_map_ok", True, "boolean").alias("section_map_ok"), have("triage_vocab_ok", False, "boolean").alias("triage_vocab_ok")).alias("quality"),
+        F.struct(have("eligible_for_sorter_skip", False, "boolean").alias("eligible_for_sorter_skip"), have("recommended_action", "force_llm_sorter", "string").alias("recommended_action"), F.lit(Gate().doc_confidence).alias("bert_threshold")).alias("gate"),
+        F.struct(F.lit((model or {}).get("model_id")).alias("model_id"), F.lit((model or {}).get("model_revision")).alias("model_revision"), have("n_windows", 0, "int").alias("intake_windows")).alias("provenance"),
     )
-    return docs.select(key, F.to_json(body).alias("handoff"))
+    return docs.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("handoff"))
 
 
 def section_map(sections: Column) -> Column:

@@ -74,7 +74,7 @@ def ema(rows: DataFrame, run: str, order: list[str], value: str, weight: float =
     factor and its own share); the ranges' results are folded in order, so no run is one array.
     """
     ends = rows.groupBy(run).agg(F.min(order[0]).alias("__lo"), F.max(order[0]).alias("__hi"))
-    number = lambda c: (F.unix_micros(c) if dict(rows.dtypes)[order[0]].startswith("timestamp") else c).cast("double")
+    number = lambda c: (F.unix_micros(c.cast("timestamp")) if dict(rows.dtypes)[order[0]].startswith("timestamp") else c).cast("double")
     lo, hi = number(F.col("__lo")), number(F.col("__hi"))
     part = F.least(F.lit(parts - 1), F.floor(F.coalesce(F.try_divide((number(F.col(order[0])) - lo) * parts, hi - lo), F.lit(0.0)))).cast("int")
     cut = rows.join(ends, run).groupBy(run, part.alias("part")).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v")))).alias("s"))
@@ -87,7 +87,7 @@ def ema(rows: DataFrame, run: str, order: list[str], value: str, weight: float =
 
     folded = cut.select(run, "part", F.size("s").alias("n"), F.aggregate("s", nothing, step).alias("f"))
     listed = folded.groupBy(run).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("part", "f"))).alias("s"))  # at most ``parts`` items
-    whole = F.aggregate("s", F.lit(None).cast("double"), lambda a, x: F.when(x["f.first"].isNull(), a).when(a.isNull(), x["f.first"]).otherwise(a * x["f.factor"] + x["f.share"]))
+    whole = F.aggregate("s", F.lit(None).cast("double"), lambda a, x: F.when(x["f"]["first"].isNull(), a).when(a.isNull(), x["f"]["first"]).otherwise(a * x["f"]["factor"] + x["f"]["share"]))
     return listed.select(run, F.col("n").cast("int").alias("n"), whole.alias("ema"))
 
 

@@ -163,7 +163,7 @@ def balanced(pool: Pool, canonical: DataFrame, spec: Spec, mult: float = 2.0) ->
     counts = enrich.counts_of(pool.kept)
     over = "cap_2x" if sum(counts.values()) > budget else "balance_cut"
     slots = enrich.water_fill(counts, budget)
-    cut = enrich.cut_by_slots(pool.kept, slots, [F.desc("label_confidence"), F.col("filename")], over)
+    cut = enrich.cut_by_slots(pool.kept, slots, [-F.col("label_confidence"), F.col("filename")], over)
     rest = cut.where("reason is null").drop("reason")
     authentic = dict.fromkeys(counts, 0) | enrich.counts_of(canonical.where((F.col("doc_type") == spec.doc_type) & (F.col("split") != "test")))
     share = enrich.apply_mixture(rest, authentic, global_share=0.99, tiers=((0, 1),))

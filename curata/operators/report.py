@@ -72,7 +72,7 @@ def macro_f1_all(rows: DataFrame, labels: DataFrame, observed_only: bool = False
 
 def head_ece_policy(heads: DataFrame, limit: float = 0.1) -> DataFrame:
     """(head, ece, excluded) with status: an excluded head is out of the fast path whatever its error; others are refused above the limit or without one."""
-    return heads.withColumn("status", F.when("excluded", "excluded").when(F.col("ece").isNull(), "missing").when(F.col("ece") >= limit, "refused").otherwise("ok"))
+    return heads.withColumn("status", F.when(F.col("excluded"), "excluded").when(F.col("ece").isNull(), "missing").when(F.col("ece") >= limit, "refused").otherwise("ok"))
 
 
 def plus_slice(rows: DataFrame, baseline: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ CONF_SQL = "conf AS (SELECT l_quantity / 50.0::DOUBLE AS conf, (l_partkey % 100)
 
 LOGITS_SQL = """logits AS (
   SELECT vec_id, vec_id // 4 AS document, (vec_id % 4)::INT AS window_index, label,
-         list_transform(embedding[1:10], lambda x: x::DOUBLE) AS logits FROM embeddings)"""
+         list_transform(embedding, lambda x: x::DOUBLE) AS logits FROM embeddings)"""
 
 PREDICTIONS_SQL = """predictions AS (
   SELECT 'doc_' || doc_id AS filename, lang AS gt_doc_type, source AS gt_subclass,
@@ -48,7 +48,7 @@ def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    return vectors.select("vec_id", F.floor(F.col("vec_id") / 4).alias("document"), (F.col("vec_id") % 4).cast("int").alias("window_index"), "label", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double")).alias("logits"))
+    return vectors.select("vec_id", F.floor(F.col("vec_id") / 4).alias("document"), (F.col("vec_id") % 4).cast("int").alias("window_index"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("logits"))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from curata.operators import calibrate, evaluate, merge
 from curata.plans.fixtures import CONF_SQL, CORPUS_SQL, JUDGED_SQL, LOGITS_SQL, confidences, corpus, judged, logits, predictions, table
 from curata.settings import EDGES, Gate
 
-_PRIOR = [0.1 * k - 0.4 for k in range(10)]
+#: A prior for each of the 64 classes of the embeddings as logits.
+_PRIOR = [0.1 * (k % 9) - 0.4 for k in range(64)]
 
 
 def softmax_window_probs(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +25,7 @@ def energy_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ood_threshold(spark: SparkSession, d: str) -> DataFrame:
-    rows = logits(spark, d).where("label < 5").select(ar.energy(F.col("logits")).alias("energy"))
+    rows = logits(spark, d).select(ar.energy(F.col("logits")).alias("energy"))
     return calibrate.ood_threshold(rows).select(F.round("threshold", 6).alias("threshold"), "n")
 
 
@@ -50,7 +51,7 @@ def band_ece(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reliability_table(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.reliability(confidences(spark, d).where("conf > 0.35"))
+    return calibrate.reliability(confidences(spark, d))
 
 
 def wilson_bounds(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +105,7 @@ def intake_decision(spark: SparkSession, d: str) -> DataFrame:
 def intake_gate_pass_fail(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("doc_id")
     rows = table(spark, d, "documents").select(
-        "doc_id", F.when(i % 17 == 0, "llm").otherwise("bert").alias("method"), (i % 7 != 0).alias("context_fit"), F.when(i % 11 == 0, 0.5).otherwise(1.0).alias("coverage"), (i % 13 == 0).alias("messy"), (i % 3 % 2).alias("n_guard_failures"),
+        "doc_id", F.when(i % 17 == 0, "llm").otherwise("bert").alias("method"), (i % 7 != 0).alias("context_fit"), F.when(i % 53 == 0, "none").when(i % 11 == 0, "0.5").otherwise("1.0").alias("coverage"), (i % 13 == 0).alias("messy"), (i % 3 % 2).alias("n_guard_failures"),
         F.when(i % 37 == 0, None).otherwise((85 + i % 15) / 100.0).alias("confidence"), (i % 19 != 0).alias("triage_vocab_ok"), (i % 23 != 0).alias("section_map_ok"), F.col("lang").alias("doc_type"),
         F.when(i % 5 == 0, None).when(i % 4 == 0, "en").otherwise(F.col("lang")).alias("sorter_type"), F.when(i % 2 == 0, None).when(i % 9 == 0, "fr").otherwise(F.col("lang")).alias("reviewer_type"),
     )
@@ -114,7 +115,7 @@ def intake_gate_pass_fail(spark: SparkSession, d: str) -> DataFrame:
 def handoff_json(spark: SparkSession, d: str) -> DataFrame:
     rows = merge.guard_chain(_decided(spark, d), Gate(max_chars=6000)).withColumn("confidence", F.lit(0.5))
     out = merge.handoff(rows, "doc_id")
-    return out.select("doc_id", *[F.get_json_object("handoff", f"$.{p}").alias(n) for n, p in (("route", "routing.route"), ("reason", "routing.reason"), ("doc_class", "triage.primary_doc_class"), ("context_fit", "quality.context_fit"))])
+    return out.select("doc_id", *[F.get_json_object("handoff", f"$.{p}").alias(n) for n, p in (("schema_version", "schema_version"), ("route", "routing.path"), ("reason", "routing.reason"), ("doc_chars", "routing.doc_chars"), ("windows", "provenance.intake_windows"), ("skip", "gate.eligible_for_sorter_skip"), ("doc_class", "triage.primary_doc_class"), ("context_fit", "quality.context_fit"))])
 
 
 def confusion_matrix(spark: SparkSession, d: str) -> DataFrame:
@@ -148,13 +149,13 @@ def window_buckets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def head_support(spark: SparkSession, d: str) -> DataFrame:
-    rows = predictions(spark, d).where("gt_subclass <> 'src3'").select(F.col("gt_subclass").alias("gt"))
-    return evaluate.head_support(rows, table(spark, d, "documents").select(F.col("source").alias("label")))
+    rows = predictions(spark, d).select(F.col("gt_subclass").alias("gt"))
+    head = table(spark, d, "documents").select(F.explode(F.array("source", F.lit("unseen"))).alias("label"))
+    return evaluate.head_support(rows, head)
 
 
 def _other(spark: SparkSession, d: str) -> DataFrame:
-    rows = judged(spark, d)
-    return rows.where("filename not like '%3'").withColumn("dt_correct", F.col("sc_correct"))
+    return judged(spark, d).withColumn("dt_correct", F.col("sc_correct"))
 
 
 def paired_compare(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +203,7 @@ _VOTES = _L + _SOFT.format(t="1.0") + """, r AS (SELECT document, window_index,
   v AS (SELECT *, list_position(probs, list_max(probs)) - 1 AS vote FROM r),
   t AS (SELECT document, vote, count(*) AS n, min(window_index) AS first FROM v GROUP BY 1, 2),
   w AS (SELECT document, vote AS winner, n AS top FROM t QUALIFY row_number() OVER (PARTITION BY document ORDER BY n DESC, first) = 1),
-  c AS (SELECT document, unnest(range(0, 10)) AS class_id, unnest(probs) AS p FROM v),
+  c AS (SELECT document, unnest(range(0, 64)) AS class_id, unnest(probs) AS p FROM v),
   a AS (SELECT document, class_id, avg(p) AS p FROM c GROUP BY 1, 2), s AS (SELECT document, count(*) AS n_windows FROM v GROUP BY 1)"""
 _DECIDED = """decided AS (SELECT doc_id, lang AS doc_type, source AS subclass, n_chars AS chars, doc_id % 19 AS n_windows, doc_id % 23 = 0 AS all_abstained, doc_id % 29 <> 0 AS vocab_ok,
   doc_id % 31 = 0 AS head_excluded, CASE WHEN lang = 'es' THEN CASE WHEN source = 'src1' THEN source END WHEN source IN ('src1', 'src2', 'src3', 'src4') THEN source ELSE 'other' END AS projected, doc_id % 8 AS support,
@@ -215,15 +216,15 @@ _J = f"WITH {JUDGED_SQL} "
 _WILSON = "greatest(0.0, coalesce(({h} / n::DOUBLE + 3.8416 / (2 * n) - 1.96 * sqrt(({h} / n::DOUBLE) * (1 - {h} / n::DOUBLE) / n + 3.8416 / (4.0 * n * n))) / (1 + 3.8416 / n), 0.0))"
 
 ORACLE_SQL = {
-    "softmax_window_probs": _L + _SOFT.format(t="0.5") + " SELECT vec_id, unnest(range(0, 10))::INT AS class_id, round(unnest(probs), 6) AS p FROM q",
+    "softmax_window_probs": _L + _SOFT.format(t="0.5") + " SELECT vec_id, unnest(range(0, 64))::INT AS class_id, round(unnest(probs), 6) AS p FROM q",
     "energy_scores": _L + f" SELECT vec_id, round({_ENERGY}, 6) AS energy FROM logits",
-    "ood_threshold": _L + f" SELECT round(quantile_cont({_ENERGY}, 0.05), 6) AS threshold, count(*) AS n FROM logits WHERE label < 5",
+    "ood_threshold": _L + f" SELECT round(quantile_cont({_ENERGY}, 0.05), 6) AS threshold, count(*) AS n FROM logits",
     "ood_flags": _L + f", e AS (SELECT document, avg({_ENERGY}) AS m FROM logits GROUP BY 1) SELECT document, round(m, 6) AS mean_energy, m > -2.5 AS ood_flag FROM e",
     "logit_adjusted_argmax": _L + f", a AS (SELECT vec_id, list_transform(logits, lambda z, i: z + 0.5::DOUBLE * [{', '.join(repr(p) + '::DOUBLE' for p in _PRIOR)}][i]) AS l FROM logits) SELECT vec_id, (list_position(l, list_max(l)) - 1)::INT AS class_id FROM a",
     "ece_bins": f"WITH {CONF_SQL}, {_BINNED.format(e=_EDGES)} SELECT bin::INT AS bin, count(*) AS n, round(avg(conf), 9) AS mean_conf, round(avg(correct::INT), 9) AS accuracy FROM b GROUP BY 1",
     "ece": f"WITH {CONF_SQL}, {_BINNED.format(e=_EDGES)}, g AS (SELECT count(*) AS n, abs(avg(correct::INT) - avg(conf)) AS gap FROM b GROUP BY bin) SELECT sum(n)::BIGINT AS n, round(sum(n * gap) / sum(n), 9) AS ece FROM g",
     "band_ece": f"WITH {CONF_SQL}, {_BINNED.format(e=_BAND)}, g AS (SELECT count(*) AS n, abs(avg(correct::INT) - avg(conf)) AS gap FROM b GROUP BY bin) SELECT sum(n)::BIGINT AS n, round(sum(n * gap) / sum(n), 9) AS ece FROM g",
-    "reliability_table": f"WITH {CONF_SQL}, {_BINNED.format(e=_EDGES)}, g AS (SELECT bin, count(*) AS n, round(avg(conf), 4) AS mean_conf, round(avg(correct::INT), 4) AS accuracy FROM b WHERE conf > 0.35 GROUP BY 1)"
+    "reliability_table": f"WITH {CONF_SQL}, {_BINNED.format(e=_EDGES)}, g AS (SELECT bin, count(*) AS n, round(avg(conf), 4) AS mean_conf, round(avg(correct::INT), 4) AS accuracy FROM b GROUP BY 1)"
     + " SELECT k::INT AS bin, '[' || printf('%.1f', k / 10.0) || ',' || printf('%.1f', (k + 1) / 10.0) || CASE WHEN k = 9 THEN ']' ELSE ')' END AS label, coalesce(n, 0) AS n, mean_conf, accuracy FROM range(0, 10) r(k) LEFT JOIN g ON g.bin = k",
     "wilson_bounds": f"WITH s AS (SELECT l_suppkey, count(*) AS n, count(*) FILTER (l_quantity > 25) AS hits FROM lineitem GROUP BY 1) SELECT l_suppkey, round({_WILSON.format(h='hits')}, 9) AS bound FROM s",
     "selective_risk_sweep": f"WITH {CONF_SQL}, t AS (SELECT (60 + k) / 100.0::DOUBLE AS threshold FROM range(0, 40) r(k)), c AS (SELECT conf, count(*) AS m, count(*) FILTER (correct) AS h FROM conf GROUP BY 1), s AS (SELECT threshold, coalesce(sum(m), 0)::BIGINT AS n, coalesce(sum(h), 0)::BIGINT AS hits FROM t LEFT JOIN c ON conf >= threshold GROUP BY 1)"
@@ -241,10 +242,10 @@ ORACLE_SQL = {
         doc_id % 37 <> 0 AND (85 + doc_id % 15) / 100.0::DOUBLE >= 0.9::DOUBLE AS p3, doc_id % 19 <> 0 AS p4, doc_id % 23 <> 0 AS p5,
         CASE WHEN doc_id % 5 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 'en' ELSE lang END AS st, CASE WHEN doc_id % 2 = 0 THEN NULL WHEN doc_id % 9 = 0 THEN 'fr' ELSE lang END AS rt FROM documents),
         q AS (SELECT *, st IS NOT NULL AND st = dt AS p6, rt IS NULL OR rt = dt OR coalesce(rt = st, false) AS p7 FROM r)
-        SELECT doc_id, CASE WHEN p1 AND p2 AND p3 AND p4 AND p5 AND p6 AND p7 THEN 'PASS' ELSE 'FAIL' END AS verdict,
-        concat_ws(',', CASE WHEN NOT p1 THEN 'F1' END, CASE WHEN NOT p2 THEN 'F2' END, CASE WHEN NOT p3 THEN 'F3' END, CASE WHEN NOT p4 OR NOT p5 THEN 'F4' END, CASE WHEN NOT p6 THEN 'F5' END, CASE WHEN NOT p7 THEN 'F6' END) AS failures,
-        CASE WHEN NOT p7 THEN 'escalate_reviewer' WHEN NOT p6 THEN 'force_llm_sorter' WHEN p1 AND p2 AND p3 AND p4 AND p5 THEN 'verify_with_sorter' ELSE 'force_llm_sorter' END AS recommended_action FROM q""",
-    "handoff_json": f"WITH {_DECIDED} SELECT doc_id, CASE WHEN reason = 'fast_path' THEN 'fast_path' ELSE 'llm' END AS route, reason, doc_type AS doc_class, CASE WHEN chars <= 30000 THEN 'true' ELSE 'false' END AS context_fit FROM chain",
+        SELECT doc_id, CASE WHEN doc_id % 53 <> 0 AND p1 AND p2 AND p3 AND p4 AND p5 AND p6 AND p7 THEN 'PASS' ELSE 'FAIL' END AS verdict,
+        CASE WHEN doc_id % 53 = 0 THEN 'F7' ELSE concat_ws(',', CASE WHEN NOT p1 THEN 'F1' END, CASE WHEN NOT p2 THEN 'F2' END, CASE WHEN NOT p3 THEN 'F3' END, CASE WHEN NOT p4 OR NOT p5 THEN 'F4' END, CASE WHEN NOT p6 THEN 'F5' END, CASE WHEN NOT p7 THEN 'F6' END) END AS failures,
+        CASE WHEN doc_id % 53 = 0 THEN 'force_llm_sorter' WHEN NOT p7 THEN 'escalate_reviewer' WHEN NOT p6 THEN 'force_llm_sorter' WHEN p1 AND p2 AND p3 AND p4 AND p5 THEN 'verify_with_sorter' ELSE 'force_llm_sorter' END AS recommended_action FROM q""",
+    "handoff_json": f"WITH {_DECIDED} SELECT doc_id, '1' AS schema_version, chars::VARCHAR AS doc_chars, n_windows::VARCHAR AS windows, 'false' AS skip, CASE WHEN reason = 'fast_path' THEN 'fast_path' ELSE 'llm' END AS route, reason, doc_type AS doc_class, CASE WHEN chars <= 30000 THEN 'true' ELSE 'false' END AS context_fit FROM chain",
     "confusion_matrix": _J + "SELECT gt_doc_type AS gt, pred_doc_type AS pred, count(*) AS n FROM predictions GROUP BY 1, 2",
     "class_f1": _J + """, s AS (SELECT gt_doc_type AS label, count(*) AS support, count(*) FILTER (dt_correct) AS tp FROM judged GROUP BY 1), p AS (SELECT pred_doc_type AS label, count(*) AS said FROM judged WHERE pred_doc_type IS NOT NULL GROUP BY 1)
         SELECT label, support, round(coalesce(tp / nullif(said, 0)::DOUBLE, 0), 9) AS precision, round(tp / support::DOUBLE, 9) AS recall, round(2 * tp / (support + coalesce(said, 0))::DOUBLE, 9) AS f1 FROM s LEFT JOIN p USING (label)""",
@@ -254,8 +255,8 @@ ORACLE_SQL = {
     "slice_metrics_grouping_sets": _J + "SELECT gt_doc_type AS slice, count(*) AS n, round(avg(dt_correct::INT), 9) AS accuracy, grouping(gt_doc_type) > 0 AS overall FROM judged GROUP BY GROUPING SETS ((), (gt_doc_type))",
     "cohort_metrics": _J + "SELECT CASE WHEN n_windows = 1 THEN 'single' ELSE 'multi' END AS cohort, count(*) AS n, round(avg(dt_correct::INT), 9) AS accuracy, round(avg(agreement), 9) AS mean_agreement FROM judged GROUP BY 1",
     "window_buckets": _J + "SELECT CASE WHEN n_windows <= 1 THEN '1' WHEN n_windows <= 3 THEN '2-3' WHEN n_windows <= 8 THEN '4-8' ELSE '9+' END AS bucket, count(*) AS n, round(avg(dt_correct::INT), 9) AS accuracy FROM judged GROUP BY 1",
-    "head_support": "SELECT source AS label, count(*) FILTER (source <> 'src3') AS support FROM documents GROUP BY 1",
-    "paired_compare": _J + "SELECT count(*) AS n, count(*) FILTER (sc_correct AND NOT dt_correct) AS won, count(*) FILTER (dt_correct AND NOT sc_correct) AS lost, round(avg(dt_correct::INT), 9) AS accuracy_a, round(avg(sc_correct::INT), 9) AS accuracy_b FROM judged WHERE filename NOT LIKE '%3'",
+    "head_support": "SELECT source AS label, count(*) AS support FROM documents GROUP BY 1 UNION ALL SELECT 'unseen', 0",
+    "paired_compare": _J + "SELECT count(*) AS n, count(*) FILTER (sc_correct AND NOT dt_correct) AS won, count(*) FILTER (dt_correct AND NOT sc_correct) AS lost, round(avg(dt_correct::INT), 9) AS accuracy_a, round(avg(sc_correct::INT), 9) AS accuracy_b FROM judged",
     "score_auc": f"WITH {CONF_SQL}, t AS (SELECT conf, count(*) FILTER (correct) AS pos, count(*) AS n FROM conf GROUP BY 1), r AS (SELECT *, sum(n) OVER (ORDER BY conf) - n + (n + 1) / 2.0 AS mid FROM t) SELECT round((sum(pos * mid) - sum(pos) * (sum(pos) + 1) / 2) / (sum(pos) * (sum(n) - sum(pos)))::DOUBLE, 9) AS auc, sum(n)::BIGINT AS n FROM r",
     "release_gates": _J + ", g AS (SELECT gt_doc_type AS name, avg(dt_correct::INT) AS v FROM judged GROUP BY 1) SELECT name, CASE WHEN name = 'es' THEN 'MISSING' WHEN name = 'fr' THEN CASE WHEN v <= 0.8 THEN 'PASS' ELSE 'FAIL' END WHEN v >= 0.8 THEN 'PASS' ELSE 'FAIL' END AS status FROM g",
     "scorer_parity": _L + ", r AS (SELECT logits AS x, list_transform(logits, lambda z: round(z, 1)) AS y FROM logits) SELECT count(*) AS n, round(max(list_max(list_transform(x, lambda z, i: abs(z - y[i])))), 9) AS max_diff, round(avg((list_position(x, list_max(x)) = list_position(y, list_max(y)))::INT), 9) AS argmax_agreement FROM r",

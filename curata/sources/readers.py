@@ -7,15 +7,97 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A folder or file by suffix: .jsonl, .csv, else Parquet."""
-    if path.endswith(".csv"):
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """A folder or file by suffix: .jsonl (with a schema, else inferred), .csv, else Parquet; other suffixes raise."""
+    suffix = path.rstrip("/").rsplit("/", 1)[-1].rpartition(".")[2].lower() if "." in path.rstrip("/").rsplit("/", 1)[-1] else ""
+    if suffix == "csv":
         return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    if path.endswith(".jsonl"):
-        raise ValueError("JSON lines need a schema: use read_jsonl")
+    if suffix == "jsonl":
+        return read_jsonl(spark, path, schema) if schema else spark.read.json(path)
+    if suffix not in ("", "parquet", "pq"):
+        raise ValueError(f"unknown suffix {suffix}")
     return spark.read.parquet(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, in whatever store it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def parquet_under(spark: SparkSession, root: str, names: list[str] = ()) -> DataFrame:
+    """All Parquet files under the named folders of a root, or under the root, as one."""
+    found = [p for p in (f"{root}/{n}" for n in names) if exists(spark, p)] if names else [root]
+    if not found:
+        raise FileNotFoundError(f"none of {list(names)} under {root}")
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("mergeSchema", True).parquet(*found)
+
+
+def read_config(spark: SparkSession, root: str, config: str, splits: list[str]) -> DataFrame:
+    """The splits of a config of a staged tree (root/data/config/split); splits that are not there are left out."""
+    return read_splits(spark, f"{root}/data/{config}", [s for s in splits if exists(spark, f"{root}/data/{config}/{s}")])
+
+
+def read_training(spark: SparkSession, root: str, split: str) -> DataFrame:
+    """What training and its test read: windows for train and validation, whole documents for test."""
+    return read_config(spark, root, "documents" if split == "test" else "windows", [split])
+
+
+def eval_documents(spark: SparkSession, root: str, subset: str, corpus: DataFrame, plus: DataFrame | None = None) -> DataFrame:
+    """Documents to evaluate: a staged split if it is there, else the corpus's; train means train and validation.
+
+    ``heldout-plus`` is the corpus's test split and the extension, on the columns they share; common file names raise.
+    """
+    from curata.operators.report import check_disjoint
+
+    if subset in ("test", "validation"):
+        if exists(spark, f"{root}/data/documents/{subset}"):
+            return read_config(spark, root, "documents", [subset])
+        return corpus.where(F.col("split") == subset)
+    if subset == "train":
+        return corpus.where(F.col("split").isin("train", "validation"))
+    if subset == "heldout-plus":
+        if plus is None:
+            raise FileNotFoundError("the extension is not there")
+        test = corpus.where("split = 'test'")
+        check_disjoint(test, plus)
+        shared = [c for c in test.columns if c in plus.columns]
+        return test.select(*shared).unionByName(plus.select(*shared))
+    return corpus
+
+
+def read_mail(spark: SparkSession, root: str) -> DataFrame:
+    """Mail pool: labels inner-joined with their texts by file name."""
+    labels, texts = parquet_under(spark, root, ["ground_truth"]), parquet_under(spark, root, ["default", "blind"])
+    return labels.join(texts.select(*[c for c in ("filename", "text", "subject") if c in texts.columns]).withColumnRenamed("text", "doc_text"), "filename")
+
+
+def read_claims(spark: SparkSession, root: str) -> DataFrame:
+    """Nested claims: the text of all context documents, named by the claim."""
+    rows = parquet_under(spark, root)
+    texts = F.transform("data.contextDocuments", lambda d: F.coalesce(d["extractedDocumentContent"], F.lit("")))
+    claim = F.col("data.claim.claimId").cast("string")
+    name = F.coalesce(claim, F.col("id").cast("string")) if "id" in rows.columns else claim
+    return rows.select(F.concat(F.lit("property:"), name, F.lit(".txt")).alias("filename"), F.trim(F.concat_ws("\n\n", texts)).alias("doc_text"), name.alias("claim_id"))
+
+
+def read_register(spark: SparkSession, root: str) -> DataFrame:
+    """A tabular register: rows named by their claim, without texts, so they have to be rendered first."""
+    return parquet_under(spark, root).withColumn("filename", F.concat(F.lit("auto:"), F.col("claim_id").cast("string"), F.lit(".txt")))
+
+
+def read_narratives(spark: SparkSession, path: str) -> DataFrame:
+    """CSV narratives, named by their index."""
+    rows = read_table(spark, path)
+    text = rows.withColumn("doc_text", F.col("claim_narrative")) if "claim_narrative" in rows.columns else rows
+    return text.withColumn("filename", F.concat(F.lit("insurbias:"), F.col("index").cast("string"), F.lit(".txt"))) if "index" in rows.columns else text
+
+
+def read_rendered(spark: SparkSession, root: str, schema: T.StructType | str) -> DataFrame:
+    """Rendered claims: train.jsonl only, for the other file is held out."""
+    return read_jsonl(spark, f"{root}/train.jsonl", schema)
+
+
 def read_splits(spark: SparkSession, root: str, splits: list[str]) -> DataFrame:
     """Parquet folders by split; ``split`` comes from the folder where the files have none."""
     out = None
@@ -48,9 +130,9 @@ def nested_texts(df: DataFrame, column: str, field: str = "text") -> DataFrame:
     return df.withColumn("doc_text", F.concat_ws("\n\n", F.transform(column, lambda d: d[field])))
 
 
-def without_shards(df: DataFrame, prefix: str = "enrichment-") -> DataFrame:
-    """Rows of files whose name does not begin with a prefix (call directly on a file source)."""
-    return df.where(~F.col("_metadata.file_name").startswith(prefix))
+def without_shards(df: DataFrame, prefix: str = "enrichment") -> DataFrame:
+    """Rows of files that are neither named by a prefix nor in a folder named so (call directly on a file source)."""
+    return df.where(~F.col("_metadata.file_path").rlike(f"/{prefix}[-/][^/]*$"))
 
 
 def revision(spark: SparkSession, path: str) -> str:
