@@ -26,7 +26,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.measure(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return fertility.measure(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op9_differencing_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

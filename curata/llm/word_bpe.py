@@ -61,6 +61,25 @@ class WordBpe:
             out.append(ids)
         return out
 
+    def pre_tokens(self, text: str) -> list[str]:
+        """The pre-tokens of a text, which no piece crosses; a special token's string is one, marked by a space before it."""
+        if self.special and "<|" in text and self.special.search(text):
+            out: list[str] = []
+            for k, part in enumerate(self.special.split(text)):
+                out += [f" {part}"] if k % 2 else self._cut(part)
+            return out
+        return self._cut(text)
+
+    def _cut(self, text: str) -> list[str]:
+        return _EXACT.findall(self.tokenizer.normalizer.normalize_str(text)) if _ODD.search(text) else _FAST.findall(text.lower())
+
+    def pieces(self, pre_token: str) -> int:
+        """The number of pieces of a pre-token."""
+        if pre_token in self.special_ids:
+            return 1
+        plain = pre_token.isascii() and pre_token.isprintable()
+        return len(self.tokenizer.model.tokenize(pre_token if plain else "".join([self.letters[b] for b in pre_token.encode()])))
+
     def words(self, text: str) -> list[str]:
         """The words of a text; a special token's string is one, marked by a space before it."""
         if self.special and "<|" in text and self.special.search(text):

@@ -35,7 +35,7 @@ EVERY = {
     "bpe": lambda d: byte_bpe.digests(d, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN),
     "katz": katz.scores,
     "counts": lambda d: token_counts.count_tokens(d, P.path("word_bpe_49k.json")),
-    "fertility": lambda d: fertility.measure(d, P.path("piece_bpe_32k.model")),
+    "fertility": lambda d: fertility.measure(d, P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken")),
     "url": lambda d: url_filter.judge(d, [url_filter.Rule("block", "com", "/")], "doc_id", "text"),
     "html": lambda d: html_text.extract(d, "doc_id", "id", "text"),
     "iblt": iblt.compare_edited,
@@ -133,7 +133,7 @@ def test_base_rules_against_loops():
 
 def test_clean_text_is_kept_and_junk_is_not(spark):
     d = "/root/testdata/sf0.001"
-    rows = fertility.measure(spark.read.parquet(f"{d}/documents.parquet"), P.path("piece_bpe_32k.model")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
+    rows = fertility.measure(spark.read.parquet(f"{d}/documents.parquet"), P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken")).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id")
     good = rows.where("quality = 1 and not base_failed").agg(F.avg(F.col("kept").cast("int"))).first()[0]
     assert good > 0.98
 
