@@ -187,7 +187,8 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Only what orders the rows is carried along, so all that is made of them shares one shuffle.
     placed = joined.select("key", F.col("id").isNull().alias("missing"), "text", F.explode(F.when(first, F.array(own, again)).otherwise(F.array(own))).alias("p")).select("key", "missing", "text", "p.*")
     usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = placed.repartition(max(usual, min(runs, SPREAD * usual)), "at", "part")
+    # Both are known; said here, for else a join by them adds the condition on one side only, which then has a shuffle of its own.
+    placed = placed.where("at is not null and part is not null").repartition(max(usual, min(runs, SPREAD * usual)), "at", "part")
     window = Window.partitionBy("at", "part").orderBy(F.col("own").desc(), *order)
     return placed.withColumn("next_text", F.lead("text").over(window)).withColumn("row", F.row_number().over(window)).where("own").select("at", "part", "row", F.when(~F.col("missing"), F.col("key")).alias("id"), "text", "next_text")
 
