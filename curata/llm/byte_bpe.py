@@ -45,7 +45,8 @@ BLOCK_BYTES, HELD, LONG = 6 << 20, 500_000, 64
 #: Small maps of the rank map (a prime, so remainders of keys spread), rank of no pair, and what tells ids from ranks.
 MAPS, NONE, ID = 65_521, 1 << 29, 1 << 30
 
-# The pattern for texts of plain characters, by the faster module.
+# The usual pattern, and the same for texts of plain characters, by the faster module.
+_USUAL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _FAST = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
@@ -58,9 +59,9 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Splitter:
     """Pre-tokens of a text."""
 
-    def __init__(self, pattern: str, ranks: dict[bytes, int], plain: bool, whole: dict[bytes, int]) -> None:
+    def __init__(self, pattern: str, ranks: dict[bytes, int], whole: dict[bytes, int]) -> None:
         exact = pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
-        self.exact, self.plain = regex.compile(exact), plain
+        self.exact, self.plain = regex.compile(exact), pattern == _USUAL
         self.pairs = {p[k : k + 2] for p in ranks for k in range(len(p) - 1)}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.unreached = whole
@@ -160,9 +161,9 @@ class _Index(dict):
         return n
 
 
-def _blocks(pattern: str, path: str, plain: bool, whole_pieces: dict[bytes, int]):
+def _blocks(pattern: str, path: str, whole_pieces: dict[bytes, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = held(("split", path, pattern), lambda: Splitter(pattern, read_ranks(path), plain, whole_pieces))
+        splitter = held(("split", path, pattern), lambda: Splitter(pattern, read_ranks(path), whole_pieces))
         index, base = _Index(), 0
         ids: list = []
         orders: list[np.ndarray] = []
@@ -226,16 +227,16 @@ def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids.values.to_pylist(), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def coded_blocks(docs: DataFrame, path: str, pattern: str, plain: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def coded_blocks(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per block: document ids, words per document, word order (int32), words known before, and the new words' ids and decoded bytes.
 
-    ``plain``: whether ``pattern`` is the usual one (contractions, letters, numbers, others, white space), for which texts
-    of plain characters are cut by a faster equal.
+    Under the usual pattern (contractions, letters, numbers, others, white space) texts of plain characters are cut by a
+    faster equal.
     """
     ranks = read_ranks(path)
     maps, pieces = literals(docs.sparkSession, ranks)
     source = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
-    blocks = source.mapInArrow(_blocks(pattern, path, plain, unreached(ranks, pair_ranks(ranks))), "ids array<long>, lengths array<int>, word_order binary, base int, words array<array<int>>, whole map<int,int>")
+    blocks = source.mapInArrow(_blocks(pattern, path, unreached(ranks, pair_ranks(ranks))), "ids array<long>, lengths array<int>, word_order binary, base int, words array<array<int>>, whole map<int,int>")
 
     def word(w: Column, k: Column) -> Column:
         whole = F.try_element_at("whole", k)
@@ -245,6 +246,6 @@ def coded_blocks(docs: DataFrame, path: str, pattern: str, plain: bool, id_col:
     return coded.select("*", pieces.alias("pieces")).select("ids", "lengths", "word_order", "base", "coded", F.transform("coded", lambda ids: decode_ids(ids, F.col("pieces"))).alias("decoded"))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, plain: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes."""
-    return coded_blocks(docs, path, pattern, plain, id_col, text_col).mapInArrow(_documents, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return coded_blocks(docs, path, pattern, id_col, text_col).mapInArrow(_documents, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -47,7 +47,7 @@ THRESHOLD, REACH = 0.02, 2
 class _Block:
     __slots__ = ("text", "path", "link", "inside", "tag", "doubts")
 
-    def __init__(self, text: str, path: str, link: int, inside: bool, tag: str, doubts: tuple[int, ...]) -> None:
+    def __init__(self, text: str, path: int, link: int, inside: bool, tag: str, doubts: tuple[int, ...]) -> None:
         self.text, self.path, self.link, self.inside, self.tag, self.doubts = text, path, link, inside, tag, doubts
 
 
@@ -63,7 +63,10 @@ def _boiler(attributes: str) -> bool:
 
 def blocks_of(page: str) -> list[_Block]:
     """The page's text blocks outside elements that never hold the article."""
-    open_tags: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # block-level: name, left out, inside article or main, doubtful elements
+    # Block-level: name, left out, inside article or main, doubtful elements, number of the path from the root.
+    open_tags: list[tuple[str, bool, bool, tuple[int, ...], int]] = []
+    numbers: dict[tuple[int, str], int] = {}  # a path by the path above and its last name, so deep nesting costs no more
+    depth: dict[str, int] = {}  # open tags by name
     doubtful: list[list] = []  # elements of such words: characters, whether they hold article or main
     clear = False  # an article or main outside them
     parts: list[str] = []
@@ -77,7 +80,7 @@ def blocks_of(page: str) -> list[_Block]:
             parts.clear()
             if text:
                 inside = bool(open_tags) and open_tags[-1][2]
-                out.append(_Block(text, "/".join(t[0] for t in open_tags), min(linked, len(text)), inside, open_tags[-1][0] if open_tags else "", open_tags[-1][3] if open_tags else ()))
+                out.append(_Block(text, open_tags[-1][4] if open_tags else 0, min(linked, len(text)), inside, open_tags[-1][0] if open_tags else "", open_tags[-1][3] if open_tags else ()))
                 for k in out[-1].doubts:
                     doubtful[k][0] += len(text)
         linked = 0
@@ -102,9 +105,10 @@ def blocks_of(page: str) -> list[_Block]:
                 link_depth -= name == "a" and link_depth > 0
                 continue
             flush()
-            for k in range(len(open_tags) - 1, -1, -1):
-                if open_tags[k][0] == name:
-                    del open_tags[k:]
+            while depth.get(name):  # an end without a beginning closes nothing
+                closed = open_tags.pop()[0]
+                depth[closed] -= 1
+                if closed == name:
                     break
             link_depth = 0
             continue
@@ -121,11 +125,9 @@ def blocks_of(page: str) -> list[_Block]:
             continue
         if name in _VOID:
             continue
-        if name in _CLOSES_ITSELF and open_tags and open_tags[-1][0] in _CLOSES_ITSELF[name]:
-            open_tags.pop()
-        elif name not in _CLOSES_ITSELF and open_tags and open_tags[-1][0] == "p":
-            open_tags.pop()
-        above = open_tags[-1] if open_tags else ("", False, False, ())
+        if open_tags and open_tags[-1][0] in _CLOSES_ITSELF.get(name, {"p"}):
+            depth[open_tags.pop()[0]] -= 1
+        above = open_tags[-1] if open_tags else ("", False, False, (), 0)
         attributes = m[3]
         inside = above[2] or name in ("article", "main")
         boiler = above[1] or name in _NEVER and not (name in ("header", "figure") and above[2])
@@ -141,7 +143,8 @@ def blocks_of(page: str) -> list[_Block]:
                 doubtful[k][1] = True
         if attributes.endswith("/"):
             continue
-        open_tags.append((name, boiler, inside, doubts))
+        open_tags.append((name, boiler, inside, doubts, numbers.setdefault((above[4], name), len(numbers) + 1)))
+        depth[name] = depth.get(name, 0) + 1
     flush()
     total = sum(len(b.text) for b in out)
     dropped = {k for k, (chars, holds) in enumerate(doubtful) if clear or not (holds or 2 * chars > total)}
@@ -153,7 +156,7 @@ def main_text(page: str) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    sums: dict[str, list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in blocks:
         s = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
         s[0] += len(b.text)
@@ -162,7 +165,7 @@ def main_text(page: str) -> str:
         s[3] += 1
     # Ratios of each path: text per node, share outside links, punctuation per character.
     ratio = {p: (s[0] / s[3]) * max(0.0, 1.0 - s[1] / s[0]) * (0.2 + min(1.0, 25.0 * s[2] / s[0])) for p, s in sums.items()}
-    smooth: dict[str, float] = {}
+    smooth: dict[int, float] = {}
     weights = [ratio[b.path] for b in blocks]
     for k, b in enumerate(blocks):
         near = weights[max(0, k - REACH) : k + REACH + 1]

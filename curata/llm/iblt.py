@@ -119,7 +119,7 @@ def with_likeness(sets: DataFrame, keys: list[str], pairs: dict[str, tuple[str,
     again, settled, attempt = tried.where(failed).select(*keys, *columns, *[f"{x}{p}" for x in ("n", "left") for p in ps]), None, 0
     while not again.isEmpty():
         attempt += 1
-        new = _tried(again.select(*keys, *columns), keys, pairs, attempt).select(*keys, *[F.col(f"{x}{p}").alias(f"new_{x}{p}") for x in ("n", "left") for p in ps])
+        new = _tried(again.select(*keys, *columns).repartition(*keys), keys, pairs, attempt).select(*keys, *[F.col(f"{x}{p}").alias(f"new_{x}{p}") for x in ("n", "left") for p in ps])
         joined = again.join(new, keys, "left")
         better = [F.when(F.col(f"left{p}") == 0, F.col(f"{x}{p}")).otherwise(F.coalesce(f"new_{x}{p}", F.lit(0))).alias(f"{x}{p}") for x in ("n", "left") for p in ps]
         again = written(joined.select(*keys, *columns, *better), "again")

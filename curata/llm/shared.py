@@ -1,4 +1,4 @@
-"""Tables written to cut lineage, in the folder that driver and executors share."""
+"""Tables written to cut lineage, in the folder that driver and executors share; they go when the application ends."""
 
 from __future__ import annotations
 
@@ -8,16 +8,31 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a new local one."""
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        held = spark.sparkContext.getCheckpointDir()
-        if held:
-            return held
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), f"checkpoint-{uuid.uuid4().hex}"))
-        return spark.sparkContext.getCheckpointDir()
-    return spark.conf.get("spark.checkpoint.dir")
+    """This application's folder in spark.checkpoint.dir, which is deleted when the application ends.
+
+    Where that is unset, a temporary folder of a local application; on a cluster that would not be shared, so it raises.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    key = f"{context.applicationId} {base}"
+    if key not in _FOLDERS:
+        if not base:
+            if not context.master.startswith("local[") and context.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            base = os.path.join(tempfile.gettempdir(), f"checkpoint-{uuid.uuid4().hex}")
+            context.setCheckpointDir(base)
+            key = f"{context.applicationId} {context.getCheckpointDir()}"
+        path = f"{base}/{context.applicationId}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(where)
+        store.deleteOnExit(where)
+        _FOLDERS[key] = path
+    return _FOLDERS[key]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -21,6 +21,9 @@ from pyspark.sql.pandas.types import to_arrow_type
 #: Texts handled together in a worker: at most so many rows and about so many bytes.
 CHUNK_ROWS, CHUNK_BYTES = 512, 2 << 20
 
+#: Characters and ids of the words that a table holds, in bytes.
+MOST_BYTES = 48 << 20
+
 #: White space of the word contract, and what ``str.split`` would split at besides it.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -56,7 +59,8 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
     ``df`` that are not kept are ignored, so extra or clashing names do no harm.  An empty input gives an empty result.
     """
     held = list(dict.fromkeys(keep))
-    source = df.select(*[df[f"`{c}`"] for c in held], df[f"`{text_col}`"].cast("string").alias("__text"))
+    own = "text" + "_" * max(map(len, ["", *held]))  # a name that no column has
+    source = df.select(*[df[f"`{c}`"] for c in held], df[f"`{text_col}`"].cast("string").alias(own))
     schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in source.schema.fields[:-1]), *fields])
     kinds = [to_arrow_type(f.dataType, prefers_large_types=False) for f in fields]
     names = [f.name for f in schema.fields]
@@ -89,7 +93,8 @@ class WordCodes:
     """Ids of distinct words, each encoded once while it is held.
 
     ``encode`` maps a list of distinct words to one id list each.  The table is dropped and begun again beyond
-    ``most`` words, so its memory is bounded; what is dropped is encoded anew when met, never lost.
+    ``most`` words or ``MOST_BYTES`` of words and ids, so its memory is bounded; what is dropped is encoded anew when met,
+    never lost.
     """
 
     def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000) -> None:
@@ -97,18 +102,19 @@ class WordCodes:
         self._begin()
 
     def _begin(self) -> None:
-        self.index = _Index()
+        self.index, self.size = _Index(), 0
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
 
     def numbers(self, lists: list[list[str]]) -> list[np.ndarray]:
         """The word numbers of each list; valid until the next call."""
-        if len(self.index) > self.most:
+        if len(self.index) > self.most or self.size + 4 * self.used > MOST_BYTES:
             self._begin()
         get = self.index.__getitem__
         out = [np.fromiter(map(get, x), np.int64, len(x)) for x in lists]
         if pending := self.index.pending:
             self.index.pending = []
+            self.size += sum(map(len, pending))
             self._add(pending)
         return out
 
