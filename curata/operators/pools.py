@@ -18,6 +18,7 @@ from curata.operators import enrich
 from curata.operators.dedup import cross_pool, family_seam, ranked_cap
 from curata.operators.enrich import Pool, source_matched_cap, title_leaks
 from curata.operators.gates import seven_gates
+from curata.operators.settle import settled
 from curata.sources.readers import nested
 
 # Columns of a document row, of its provenance and of a window row; labels that the insurance cap keeps first.
@@ -183,17 +184,20 @@ def insurance_cap(rows: DataFrame, canonical: DataFrame, doc_type: str = "insura
 
 
 def tier1(pools: dict[str, tuple[DataFrame, Spec]], canonical: DataFrame, capped: str = "insurance_claim", mult: float = 2.0, priority: tuple[str, ...] = TAIL_PRIORITY) -> tuple[Pool, DataFrame]:
-    """Pools by name in order of their names, combined, one class capped; with counts (pool, kept, rejected, needs_render)."""
+    """Pools by name in order of their names, combined, one class capped; with counts (pool, kept, rejected, needs_render).
+
+    Each pool's rows are a checkpoint, so that later pools do not assemble earlier ones again.
+    """
     register, kept, stats = None, [], None
     for name in sorted(pools):
-        done = assemble(pools[name][0], canonical, pools[name][1])
+        done = Pool(*map(settled, assemble(pools[name][0], canonical, pools[name][1])))
         kept.append(done.kept)
         for part in (done.rejected, done.needs_render):
             mine = part.withColumn("pool", F.lit(name))
             register = mine if register is None else register.unionByName(mine)
         one = done.kept.agg(F.count("*").alias("kept")).crossJoin(done.rejected.agg(F.count("*").alias("rejected"))).crossJoin(done.needs_render.agg(F.count("*").alias("needs_render"))).withColumn("pool", F.lit(name))  # one row each
         stats = one if stats is None else stats.unionByName(one)
-    both = combine(kept)
+    both = Pool(*(settled(x) for x in combine(kept)[:2]))
     inside = insurance_cap(both.kept.where(F.col("doc_type") == capped), canonical, capped, mult, priority)
     register = register.unionByName(both.rejected.withColumn("pool", F.lit("cross_pool"))).unionByName(inside.rejected.withColumn("pool", F.lit("class_cap")))
     return Pool(both.kept.where(F.col("doc_type") != capped).unionByName(inside.kept), register), stats

@@ -102,7 +102,7 @@ def read_splits(spark: SparkSession, root: str, splits: list[str]) -> DataFrame:
     """Parquet folders by split; ``split`` comes from the folder where the files have none."""
     out = None
     for split in splits:
-        df = spark.read.parquet(f"{root}/{split}")
+        df = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/{split}")
         df = df if "split" in df.columns else df.withColumn("split", F.lit(split))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out

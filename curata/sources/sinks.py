@@ -45,7 +45,7 @@ def stage_counts(spark: SparkSession, root: str) -> dict[str, dict[str, int]]:
     for config, splits in (("documents", ("train", "validation", "test")), ("windows", ("train", "validation"))):
         for split in splits:
             if exists(spark, f"{root}/data/{config}/{split}"):
-                out.setdefault(config, {})[split] = spark.read.parquet(f"{root}/data/{config}/{split}").count()
+                out.setdefault(config, {})[split] = spark.read.option("recursiveFileLookup", True).parquet(f"{root}/data/{config}/{split}").count()
     return out
 
 

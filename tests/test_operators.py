@@ -1,13 +1,14 @@
 """Semantics that the driver's tables do not show: rounding, ties, missing values, order of guards, sources and streams."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from curata.functions import arrays as ar
 from curata.functions import text as tx
-from curata.operators import calibrate, corpus, dedup, enrich, evaluate, merge, ops, split
+from curata.operators import calibrate, corpus, dedup, enrich, evaluate, merge, ops, ranks, split
 from curata.sources import readers, sinks
 from curata.streaming import tail
 
@@ -118,21 +119,25 @@ def test_char_similarity_matches_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in enrich.char_similarity(rows, "id", "text", 0.6).collect()} == want
 
 
-def test_first_failure_compares_with_the_prior_pool(spark):
+def test_copies_are_near_duplicates(spark):
+    rows = spark.createDataFrame([(3, "the very same text"), (1, "the very same text"), (2, "the very same text"), (4, "ab"), (5, "ab")], "id long, text string")
+    assert sorted(map(tuple, enrich.char_similarity(rows, "id", "text").collect())) == [(1, 2, 1.0), (1, 3, 1.0)]
+
+
+def test_similarity_to_a_prior_text(spark):
     texts = ["the quick brown fox jumps over the lazy dog near the river", "a letter about the premium that was never paid in march", "the third text is like none of the others at all"]
-    rows = spark.createDataFrame([(k, t, "s", "accept", "s", 0.9) for k, t in enumerate([*texts, texts[0]])], "id long, doc_text string, subclass string, adjudication string, model_subclass string, model_probability double")
-    held = spark.createDataFrame([("nothing shared",)], "doc_text string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     prior = spark.createDataFrame([(texts[0] + "s",), (texts[1],), (None,), ("",)], "doc_text string")
-    failures = lambda **more: {r["id"]: r["first_failure"] for r in enrich.first_failure(rows, held, "id", ["the"], ["s"], **more).collect()}
-    assert failures(prior=prior) == {0: "diversity", 1: "diversity", 2: None, 3: "diversity"}
-    assert set(failures().values()) == {None}
+    got = {r["id"]: r["similarity"] for r in enrich.like_prior(rows, prior, "id", "text", "doc_text").collect()}
+    assert set(got) == {0, 1} and got[1] == 1.0 and 0.85 < got[0] < 1
 
 
 def test_cross_pool_rejected_rows_do_not_block(spark):
-    schema = "filename string, content_sha256 string"
-    pools = [spark.createDataFrame(r, schema) for r in ([("a", "1")], [("b", "1"), ("c", "2")], [("b", "3"), ("d", "2")])]
+    schema = "filename string, content_sha256 string, text_sha256 string"
+    pools = [spark.createDataFrame(r, schema) for r in ([("a", "1", "t1")], [("b", "1", "t2"), ("c", "2", "t1"), ("d", "4", "t4")], [("e", "3", "t2"), ("f", "t4", "t9")])]
     out = {(r["pool"], r["filename"]): r["reason"] for r in dedup.cross_pool(pools).collect()}
-    assert out == {(0, "a"): None, (1, "b"): "duplicate_sha", (1, "c"): None, (2, "b"): None, (2, "d"): "duplicate_sha"}
+    hit = "duplicate_sha_cross_pool"
+    assert out == {(0, "a"): None, (1, "b"): hit, (1, "c"): hit, (1, "d"): None, (2, "e"): None, (2, "f"): hit}
 
 
 def test_replay_and_keyed_split_count_alike(spark):
@@ -175,10 +180,18 @@ def test_token_windows_cover_and_overlap(spark):
             return " ".join(ids)
 
     docs = spark.createDataFrame([("a", "T", " ".join(map(str, range(50)))), ("b", "", "one two"), ("c", None, None)], "filename string, title string, doc_text string")
-    out = corpus.token_windows(docs, Words, 16, 4).orderBy("filename", "window_index").collect()
-    a = [r["window_text"].split("body: ")[1].split() for r in out if r["filename"] == "a"]
-    assert sorted({int(x) for w in a for x in w}) == list(range(50)) and a[0][-4:] == a[1][:4]
-    assert [r["n_windows"] for r in out if r["filename"] in "bc"] == [1, 1]
+    for version, budget in ((1, 24), (2, 32)):
+        out = corpus.token_windows(docs, Words, budget, 4, version).orderBy("filename", "window_index").collect()
+        texts = [r["window_text"] for r in out if r["filename"] == "a"]
+        head = (lambda k: "T\n\n") if version == 1 else (lambda k: f"[FILE_NAME] a\n[TITLE] T\n[WINDOW_INDEX] {k}\n\n")
+        assert all(t.startswith(head(k)) for k, t in enumerate(texts))
+        a = [[int(x) for x in t[len(head(k)) :].split() if x != "T"] for k, t in enumerate(texts)]
+        assert sorted({x for w in a for x in w}) == list(range(50)) and a[0][-4:] == a[1][:4]
+        assert all(len(t.split()) + 2 <= budget for t in texts)
+        assert [r["n_windows"] for r in out if r["filename"] in "bc"] == [1, 1]
+    assert corpus.windows_of(Words(), "a title that fills it all", "x " * 50, 9, 4) == ["a title that fills it all\n\n" + "x " * 50]
+    with pytest.raises(ValueError):
+        corpus.token_windows(docs, Words, 16, 4, 3)
 
 
 def test_scorer_keeps_failing_rows(spark):
@@ -204,19 +217,97 @@ def test_sources_and_sinks(spark, tmp_path):
     assert readers.revision(spark, str(tmp_path / "stage")) == readers.revision(spark, str(tmp_path / "stage"))
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (2, 3, 0, 1), (3, 2, 1, 0)])
+def test_stream_equals_batch(spark, tmp_path, order):
     folder = tmp_path / "log"
     folder.mkdir()
     values = [3.0, 1.0, 2.0, 5.0]
     lines = [json.dumps({"ts": "2024-01-01T00:00:00", "run": "r", "event": "step", "step": k, "seconds": v}) for k, v in enumerate(values)]
-    (folder / "0.jsonl").write_text("\n".join([*lines[:2], "{broken"]))
-    (folder / "1.jsonl").write_text("\n".join(lines[2:]))
-    query = tail.ema(tail.follow(spark, str(folder), per_trigger=1)).writeStream.outputMode("update").format("memory").queryName("ema").start()
+    for at, part in enumerate((order[:2], order[2:])):
+        (folder / f"{at}.jsonl").write_text("\n".join([*(lines[k] for k in part), "{broken"]))
+        os.utime(folder / f"{at}.jsonl", (1_700_000_000 + 60 * at,) * 2)  # in this order
+    name = f"ema_{order[0]}"
+    query = tail.ema(tail.follow(spark, str(folder), per_trigger=1)).writeStream.outputMode("update").format("memory").queryName(name).start()
     query.processAllAvailable()
     query.stop()
-    got = spark.sql("select ema from ema order by n desc").first()["ema"]
+    got = spark.sql(f"select ema, late from {name} order by n desc").first()
     rows = spark.createDataFrame([("r", k, v) for k, v in enumerate(values)], "run string, step int, seconds double")
-    assert abs(got - ops.ema(rows, "run", ["step"], "seconds").first()["ema"]) < 1e-12
+    assert abs(got["ema"] - ops.ema(rows, "run", ["step"], "seconds").first()["ema"]) < 1e-12 and got["late"] == 0
+
+
+def test_stream_counts_what_comes_too_late(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(tail, "WAIT", 2)
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state, out = State(), None
+    for steps in ([5, 4, 6], [9, 1, 7]):
+        out = next(tail._update(("r",), iter([pd.DataFrame({"step": steps, "seconds": [float(k) for k in steps]})]), state))
+    want = 4.0
+    for x in (5.0, 6.0, 7.0, 9.0):
+        want = want * 0.8 + x * 0.2
+    assert (out["n"][0], out["late"][0]) == (5, 1) and abs(out["ema"][0] - want) < 1e-12
+
+
+def test_average_in_ranges_equals_a_loop(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"r{k % 3}", float(rng.randrange(1000)), k, rng.random() if rng.random() < 0.9 else None) for k in range(500)]
+    got = {r["run"]: (r["n"], r["ema"]) for r in ops.ema(spark.createDataFrame(rows, "run string, at double, k long, v double"), "run", ["at", "k"], "v", parts=7).collect()}
+    for run in ("r0", "r1", "r2"):
+        a, mine = None, sorted(r[1:] for r in rows if r[0] == run)
+        for _, _, v in mine:
+            a = a if v is None else v if a is None else a * 0.8 + v * 0.2
+        assert got[run][0] == len(mine) and abs(got[run][1] - a) < 1e-9
+
+
+def test_upper_median_and_percentiles_are_exact(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [("a", rng.gauss(0, 1)) for _ in range(3001)] + [("b", float(k % 3)) for k in range(2000)] + [("c", 4.0)] + [("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["n"], r["median"]) for r in ops.upper_median(df, "g", "v").collect()}
+    for g in "abc":
+        mine = sorted(v for k, v in rows if k == g)
+        assert got[g] == (len(mine), mine[len(mine) // 2])
+    mine = [v for k, v in rows if k == "a"]
+    shares = [0.0, 0.05, 0.5, 0.731, 1.0]
+    assert np.allclose(ranks.exact_percentiles(df.where("g = 'a'"), F.col("v"), shares), np.percentile(mine, [100 * s for s in shares]))
+    assert ranks.exact_percentiles(df.where("g = 'd'"), F.col("v"), [0.5]) == [None]
+
+
+def test_effects_under_a_known_surface(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"f{k}", x, z, 2.0 * x + 0.5 * z + rng.gauss(0, 0.1)) for k in range(3000) for x, z in [(rng.random(), rng.random())]]
+    out = evaluate.ale_curve(spark.createDataFrame(rows, "filename string, x double, z double, y double"), "x", "y", "z").orderBy("bin").collect()
+    steps = [b["effect"] - a["effect"] for a, b in zip(out, out[1:])]
+    assert all(abs(s - 2.0 * (b["upper"] - a["upper"])) < 0.02 for s, a, b in zip(steps, out, out[1:]))
+    assert all(r["low"] <= r["effect"] <= r["high"] for r in out) and out[0]["r2"] > 0.95
+
+
+def test_priors(spark):
+    import math
+
+    assert [round(math.exp(x), 6) for x in ar.log_prior([0.5, 2.0, None])] == [round(x, 6) for x in (2 / 3, 0.5 / 3, 0.5 / 3)]
+    assert [round(math.exp(x), 6) for x in ar.log_prior([0.5, 2.0], 2.0)] == [round(x, 6) for x in (1 / 1.5, 0.5 / 1.5)]
+    assert ar.loss_weights({"a": 9.0, "b": 0.01}, ["a", "b", "c"], "sqrt-inverse", 2.0) == [2.0, 0.5, 1.0]
+
+
+def test_proper_nouns(spark):
+    found = one(spark, tx.proper_nouns(F.lit("Acme  Corp met J. Doe.\nDear\nSir, \u00c9ric Martin and Big Co\u00e9 Ltd Inc.")))
+    assert found == ["Acme  Corp", "Ltd Inc"]
 
 
 def test_step_log(spark):
