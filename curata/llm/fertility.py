@@ -59,6 +59,9 @@ PRIOR = {
 #: that is not short, texts that a prior band counts for.
 REACH, SLACK, LONG, WEIGHT = 1.5, 0.5, 100, 50
 
+#: Words that each vocabulary's table holds.
+HELD = 200_000
+
 #: Figures with bands, as columns.
 BANDED = ("chars_per_token", "chars_per_byte_token", "evenness")
 
@@ -120,8 +123,8 @@ class _Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         byte_level = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=read_ranks(byte_path), special_tokens={})
-        self.codes = WordCodes(lambda words: sp.encode(words, num_threads=1))
-        self.byte_codes = WordCodes(lambda words: [byte_level.encode_ordinary(f" {w}") for w in words])
+        self.codes = WordCodes(lambda words: sp.encode(words, num_threads=1), HELD)
+        self.byte_codes = WordCodes(lambda words: [byte_level.encode_ordinary(f" {w}") for w in words], HELD)
         self.is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
 
 

@@ -23,7 +23,7 @@ from curata.llm.textmap import held, map_texts
 from curata.llm.word_bpe import WordBpe
 
 #: Characters of the pre-tokens that a worker's table holds.
-HELD_BYTES = 16 << 20
+HELD_BYTES = 8 << 20
 
 
 class Pieces(dict):
