@@ -18,6 +18,10 @@ A block holds the documents of one task up to ``BLOCK_BYTES``; the words that no
 words in each document, and the documents' ids form one row.  A task keeps its words, up to ``HELD``, and begins anew beyond
 that.  There is no shuffle: nothing of one document leaves its task.
 
+So that tasks do not encode the same common words again, up to ``KNOWN`` words of the first ``SAMPLE_ROWS`` texts (of each the
+first ``SAMPLE_CHARS``) are encoded beforehand, by the same fold, and broadcast.  All three bound what is sent; which words
+are known changes only where a word is encoded, never its ids, and every other word is encoded by the task that meets it.
+
 Edge cases: a null or empty text has no ids, and both digests are those of the empty string; a text of one long word is
 encoded whole; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored.
 """
@@ -29,10 +33,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +48,9 @@ from curata.llm.word_bpe import _ODD
 #: Text of a block, words that a task keeps, and bytes of a word that is first cut.
 BLOCK_BYTES, HELD, LONG = 6 << 20, 500_000, 64
 
+#: Words that are encoded beforehand, and the texts that they are taken from: rows, characters of each.
+KNOWN, SAMPLE_ROWS, SAMPLE_CHARS = 250_000, 8_000, 8_192
+
 #: Small maps of the rank map (a prime, so remainders of keys spread), rank of no pair, and what tells ids from ranks.
 MAPS, NONE, ID = 65_521, 1 << 29, 1 << 30
 
@@ -161,10 +170,25 @@ class _Index(dict):
         return n
 
 
-def _blocks(pattern: str, path: str, whole_pieces: dict[bytes, int]):
+class Known(NamedTuple):
+    """Words that are encoded beforehand, with their ids as decimal text, the numbers of ids and their decoded bytes."""
+
+    words: list[str]
+    counts: np.ndarray
+    decimal: list[bytes]
+    decoded: list[bytes]
+
+
+def _blocks(pattern: str, path: str, whole_pieces: dict[bytes, int], known: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = held(("split", path, pattern), lambda: Splitter(pattern, read_ranks(path), whole_pieces))
-        index, base = _Index(), 0
+
+        def begun() -> tuple[_Index, int]:
+            """The known words have the first numbers."""
+            out = _Index(zip(known.value.words, range(len(known.value.words)), strict=True))
+            return out, len(out)
+
+        index, base = begun()
         ids: list = []
         orders: list[np.ndarray] = []
         size = 0
@@ -178,8 +202,8 @@ def _blocks(pattern: str, path: str, whole_pieces: dict[bytes, int]):
             order = np.concatenate(orders).astype(np.int32).tobytes()
             columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([[len(o) for o in orders]], pa.list_(pa.int32())), pa.array([order], pa.binary()), pa.array([base], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), words), pa.array([whole], pa.map_(pa.int32(), pa.int32()))]
             base, ids, orders, size = len(index), [], [], 0
-            if base > HELD:
-                index, base = _Index(), 0
+            if base > HELD + len(known.value.words):
+                index, base = begun()
             return pa.RecordBatch.from_arrays(columns, names=["ids", "lengths", "word_order", "base", "words", "whole"])
 
         for batch in batches:
@@ -197,55 +221,96 @@ def _blocks(pattern: str, path: str, whole_pieces: dict[bytes, int]):
     return run
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = np.zeros(0, np.int64)
-    decimal: list[bytes] = []
-    raw: list[bytes] = []
-    for batch in batches:
-        for k in range(batch.num_rows):
-            ids, lengths, order, base, coded, decoded = (batch.column(c)[k] for c in range(6))
-            if not base.as_py():
-                n, decimal, raw = n[:0], [], []
-            ends = np.diff(coded.values.offsets.to_numpy())
-            text = list(map(str, coded.values.flatten().tolist()))
-            at = 0
-            for size in ends.tolist():
-                decimal.append(",".join(text[at : at + size]).encode())
-                at += size
-            n = np.concatenate([n, ends])
-            raw += decoded.values.to_pylist()
-            order = np.frombuffer(order.as_py(), np.int32)
-            out: list[list] = [[], [], []]
-            at = 0
-            for size in lengths.values.to_pylist():
-                words = order[at : at + size]
-                listed = words.tolist()
-                out[0].append(int(n[words].sum()))
-                out[1].append(hashlib.sha256(b",".join([decimal[w] for w in listed])).hexdigest())
-                out[2].append(hashlib.sha256(b"".join([raw[w] for w in listed])).hexdigest())
-                at += size
-            yield pa.RecordBatch.from_arrays([pa.array(ids.values.to_pylist(), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+def _documents(known: Broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = known.value
+        n, decimal, raw = k.counts, list(k.decimal), list(k.decoded)
+        for batch in batches:
+            for at_row in range(batch.num_rows):
+                ids, lengths, order, base, coded, decoded = (batch.column(c)[at_row] for c in range(6))
+                if base.as_py() == len(k.words):  # the task begins anew
+                    n, decimal, raw = k.counts, list(k.decimal), list(k.decoded)
+                ends = np.diff(coded.values.offsets.to_numpy())
+                decimal += _decimals(coded.values.flatten().tolist(), ends.tolist())
+                n = np.concatenate([n, ends])
+                raw += decoded.values.to_pylist()
+                order = np.frombuffer(order.as_py(), np.int32)
+                out: list[list] = [[], [], []]
+                at = 0
+                for size in lengths.values.to_pylist():
+                    words = order[at : at + size]
+                    listed = words.tolist()
+                    out[0].append(int(n[words].sum()))
+                    out[1].append(hashlib.sha256(b",".join(map(decimal.__getitem__, listed))).hexdigest())
+                    out[2].append(hashlib.sha256(b"".join(map(raw.__getitem__, listed))).hexdigest())
+                    at += size
+                yield pa.RecordBatch.from_arrays([pa.array(ids.values.to_pylist(), pa.int64()), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
+
+
+def _decimals(ids: list[int], sizes: list[int]) -> list[bytes]:
+    """Per word its ids as decimal text."""
+    text, out, at = list(map(str, ids)), [], 0
+    for size in sizes:
+        out.append(",".join(text[at : at + size]).encode())
+        at += size
+    return out
+
+
+def _coded(blocks: DataFrame, maps: Column, pieces: Column) -> DataFrame:
+    """``blocks`` with the ids and the decoded bytes of their words (arrays of bytes' ids) instead of the words and ``whole``."""
+    rest = [c for c in blocks.columns if c not in ("words", "whole")]
+
+    def word(w: Column, k: Column) -> Column:
+        whole = F.try_element_at("whole", k)
+        return F.when(whole.isNotNull(), F.array(whole)).otherwise(merge_bytes(w, F.col("maps")))
+
+    coded = blocks.select("*", maps.alias("maps")).select(*rest, F.transform("words", word).alias("coded"))
+    return coded.select("*", pieces.alias("pieces")).select(*rest, "coded", F.transform("coded", lambda ids: decode_ids(ids, F.col("pieces"))).alias("decoded"))
+
+
+def known_words(source: DataFrame, splitter: Splitter, maps: Column, pieces: Column) -> Known:
+    """The words of the first rows of (id, text), encoded."""
+    spark, words = source.sparkSession, _Index()
+    for r in source.select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).limit(SAMPLE_ROWS).collect():  # at most their product of characters
+        for w in splitter.split(r["t"] or ""):
+            if len(words) < KNOWN and isinstance(w, str):
+                words[w]
+    listed = [w for w in words if w.encode() not in splitter.unreached]
+    rows = [(k, [splitter.byte_ids[np.frombuffer(w.encode(), np.uint8)].tolist() for w in listed[k : k + 1000]]) for k in range(0, len(listed), 1000)]
+    if not rows:
+        return Known([], np.zeros(0, np.int32), [], [])
+    table = pa.table({"k": pa.array([r[0] for r in rows], pa.int64()), "words": pa.array([r[1] for r in rows], pa.list_(pa.list_(pa.int32())))})
+    blocks = spark.createDataFrame(table).repartition(len(rows), "k").withColumn("whole", F.create_map().cast("map<int,int>"))
+    found = sorted(_coded(blocks, maps, pieces).collect(), key=lambda r: r["k"])  # at most KNOWN words
+    counts = np.array([len(c) for r in found for c in r["coded"]], np.int32)
+    decimal = _decimals([i for r in found for c in r["coded"] for i in c], counts.tolist())
+    return Known(listed, counts, decimal, [bytes(d) for r in found for d in r["decoded"]])
 
 
 def coded_blocks(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per block: document ids, words per document, word order (int32), words known before, and the new words' ids and decoded bytes.
 
+    Word numbers begin with the words that are encoded beforehand.
+
     Under the usual pattern (contractions, letters, numbers, others, white space) texts of plain characters are cut by a
     faster equal.
     """
+    return _planned(docs, path, pattern, id_col, text_col)[0]
+
+
+def _planned(docs: DataFrame, path: str, pattern: str, id_col: str, text_col: str) -> tuple[DataFrame, Broadcast]:
     ranks = read_ranks(path)
     maps, pieces = literals(docs.sparkSession, ranks)
     source = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"))
-    blocks = source.mapInArrow(_blocks(pattern, path, unreached(ranks, pair_ranks(ranks))), "ids array<long>, lengths array<int>, word_order binary, base int, words array<array<int>>, whole map<int,int>")
-
-    def word(w: Column, k: Column) -> Column:
-        whole = F.try_element_at("whole", k)
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(merge_bytes(w, F.col("maps")))
-
-    coded = blocks.select("*", maps.alias("maps")).select("ids", "lengths", "word_order", "base", F.transform("words", word).alias("coded"))
-    return coded.select("*", pieces.alias("pieces")).select("ids", "lengths", "word_order", "base", "coded", F.transform("coded", lambda ids: decode_ids(ids, F.col("pieces"))).alias("decoded"))
+    whole = unreached(ranks, pair_ranks(ranks))
+    known = docs.sparkSession.sparkContext.broadcast(known_words(source, Splitter(pattern, ranks, whole), maps, pieces))
+    blocks = source.mapInArrow(_blocks(pattern, path, whole, known), "ids array<long>, lengths array<int>, word_order binary, base int, words array<array<int>>, whole map<int,int>")
+    return _coded(blocks, maps, pieces), known
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes."""
-    return coded_blocks(docs, path, pattern, id_col, text_col).mapInArrow(_documents, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    blocks, known = _planned(docs, path, pattern, id_col, text_col)
+    return blocks.mapInArrow(_documents(known), "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
