@@ -66,6 +66,19 @@ def eval_documents(spark: SparkSession, root: str, subset: str, corpus: DataFram
     return corpus
 
 
+def resolve_pool(spark: SparkSession, name: str, snapshots: str) -> tuple[str, str]:
+    """(path, revision) of a pool: ``repo@rev`` is a snapshot under a folder of snapshots, anything else a path, whose revision is that of its content."""
+    repo, at, rev = name.rpartition("@")
+    if at and not exists(spark, name):
+        path = f"{snapshots}/{repo}/{rev}"
+        if not exists(spark, path):
+            raise FileNotFoundError(f"no snapshot of {repo} at {rev}")
+        return path, rev
+    if not exists(spark, name):
+        raise FileNotFoundError(name)
+    return name, revision(spark, name)
+
+
 def read_mail(spark: SparkSession, root: str) -> DataFrame:
     """Mail pool: labels inner-joined with their texts by file name."""
     labels, texts = parquet_under(spark, root, ["ground_truth"]), parquet_under(spark, root, ["default", "blind"])

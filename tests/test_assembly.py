@@ -166,6 +166,10 @@ def test_pool_readers(spark, tmp_path):
     spark.createDataFrame([(((("7",), [("one",), (None,), ("two",)])),)], "data struct<claim:struct<claimId:string>, contextDocuments:array<struct<extractedDocumentContent:string>>>").write.parquet(str(tmp_path / "claims"))
     assert readers.read_claims(spark, str(tmp_path / "claims")).first()[:2] == ("property:7.txt", "one\n\n\n\ntwo")
     spark.createDataFrame([(3,)], "claim_id int").write.parquet(str(tmp_path / "reg"))
+    assert readers.resolve_pool(spark, "mail@blind", str(tmp_path)) == (str(tmp_path / "mail/blind"), "blind")
+    assert readers.resolve_pool(spark, str(tmp_path / "reg"), "")[1] == readers.revision(spark, str(tmp_path / "reg"))
+    with pytest.raises(FileNotFoundError):
+        readers.resolve_pool(spark, "mail@none", str(tmp_path))
     assert readers.read_register(spark, str(tmp_path / "reg")).first()["filename"] == "auto:3.txt"
     (tmp_path / "n.csv").write_text('index,claim_narrative\n1,"two\nlines"\n')
     assert readers.read_narratives(spark, str(tmp_path / "n.csv")).select("filename", "doc_text").first() == ("insurbias:1.txt", "two\nlines")
