@@ -59,8 +59,8 @@ PRIOR = {
 #: that is not short, texts that a prior band counts for.
 REACH, SLACK, LONG, WEIGHT = 1.5, 0.5, 100, 50
 
-#: Words that each vocabulary's table holds.
-HELD = 200_000
+#: Words that the table of both vocabularies holds.
+HELD = 150_000
 
 #: Figures with bands, as columns.
 BANDED = ("chars_per_token", "chars_per_byte_token", "evenness")
@@ -123,8 +123,7 @@ class _Pieces:
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         byte_level = tiktoken.Encoding("byte level", pat_str=PATTERN, mergeable_ranks=read_ranks(byte_path), special_tokens={})
-        self.codes = WordCodes(lambda words: sp.encode(words, num_threads=1), HELD)
-        self.byte_codes = WordCodes(lambda words: [byte_level.encode_ordinary(f" {w}") for w in words], HELD)
+        self.codes = WordCodes(lambda words: sp.encode(words, num_threads=1), HELD, lambda words: [len(byte_level.encode_ordinary(f" {w}")) for w in words])
         self.is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
 
 
@@ -136,7 +135,7 @@ def _make(path: str, byte_path: str):
     def make():
         pieces = held(("pieces", path, byte_path), lambda: _Pieces(path, byte_path))
 
-        def one(text: str, words: list[str], numbers: np.ndarray, byte_numbers: np.ndarray) -> tuple:
+        def one(text: str, words: list[str], numbers: np.ndarray) -> tuple:
             n, chars = len(words), sum(map(len, words))
             again = repeated_words(numbers)
             failed = n < 10 or 100 * again > 20 * n
@@ -146,13 +145,13 @@ def _make(path: str, byte_path: str):
             share = seen / max(1, len(ids))
             entropy = float(-(share * np.log2(share)).sum()) + 0.0
             n_bytes = int(counts[pieces.is_byte[: len(counts)]].sum())
-            byte_tokens = int(pieces.byte_codes.length[byte_numbers].sum()) if n else 0
+            byte_tokens = int(pieces.codes.extra[numbers].sum()) if n else 0
             symbols = len(_SYMBOL.findall(text))
             return n, chars, symbols, duplicate_lines(text), again, failed, len(ids), chars / max(1, len(ids)), chars / max(1, byte_tokens), entropy / float(np.log2(len(ids) + 1)) if len(ids) else 0.0, n_bytes / max(1, len(ids)), script_of(text)
 
         def work(texts: list[str]) -> list:
             words = [words_of(t) for t in texts]
-            return [list(c) for c in zip(*map(one, texts, words, pieces.codes.numbers(words), pieces.byte_codes.numbers(words)), strict=True)] or [[] for _ in _FIELDS]
+            return [list(c) for c in zip(*map(one, texts, words, pieces.codes.numbers(words)), strict=True)] or [[] for _ in _FIELDS]
 
         return work
 

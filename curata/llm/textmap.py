@@ -97,14 +97,16 @@ class WordCodes:
     never lost.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000) -> None:
-        self.encode, self.most = encode, most
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000, also: Callable[[list[str]], list[int]] | None = None) -> None:
+        """``also`` gives one more number for each word, kept in ``extra``."""
+        self.encode, self.most, self.also = encode, most, also
         self._begin()
 
     def _begin(self) -> None:
         self.index, self.size = _Index(), 0
         self.flat, self.used = np.empty(1 << 16, np.int32), 0
         self.start, self.length = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
+        self.extra = np.empty(1 << 14 if self.also else 0, np.int32)
 
     def numbers(self, lists: list[list[str]]) -> list[np.ndarray]:
         """The word numbers of each list; valid until the next call."""
@@ -123,6 +125,7 @@ class WordCodes:
         if len(self.index) > len(self.start):
             room = 2 * len(self.index)
             self.start, self.length = np.resize(self.start, room), np.resize(self.length, room)
+            self.extra = np.resize(self.extra, room) if self.also else self.extra
         for lo in range(0, len(words), 4096):
             coded = self.encode(words[lo : lo + 4096])
             n = np.fromiter(map(len, coded), np.int32, len(coded))
@@ -131,6 +134,8 @@ class WordCodes:
                 self.flat = np.resize(self.flat, 2 * (self.used + total))
             self.flat[self.used : self.used + total] = np.fromiter((i for x in coded for i in x), np.int32, total)
             self.length[at + lo : at + lo + len(coded)] = n
+            if self.also:
+                self.extra[at + lo : at + lo + len(coded)] = self.also(words[lo : lo + 4096])
             self.start[at + lo : at + lo + len(coded)] = self.used + np.cumsum(n) - n
             self.used += total
 
