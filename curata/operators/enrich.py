@@ -6,6 +6,7 @@ Caps are worked out on per-label counts, which are few, on the driver; rows are
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,14 +48,16 @@ def assemble(rows: DataFrame, head: list[str], *, doc_type: str, lineage: list[s
     return Pool(pool.kept.where(~render), pool.rejected, pool.kept.where(render))
 
 
-def finalize(rows: DataFrame, canonical: DataFrame) -> Pool:
-    """Within-pool duplicates by text, then file name collisions, then duplicates of the canonical corpus by either hash."""
-    rejected = None
-    for step in (lambda r: first_wins(r, "text_sha256"), lambda r: filename_collisions(r, canonical, text_key="text_sha256"), lambda r: additive(r, canonical)):
-        pool = split_tagged(step(rows))
-        rows = pool.kept
-        rejected = pool.rejected if rejected is None else rejected.unionByName(pool.rejected)
-    return Pool(rows, rejected)
+def finalize(rows: DataFrame, canonical: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda df: df) -> Pool:
+    """Within-pool duplicates by text, then file name collisions, then duplicates of the canonical corpus by either hash.
+
+    Only the first looks at other rows of the pool, so all three tag the same rows and the first reason counts; ``settle``
+    may cut the lineage of the tagged rows, which kept and rejected rows share.
+    """
+    tagged = first_wins(rows, "text_sha256").withColumnRenamed("reason", "__r1")
+    tagged = filename_collisions(tagged, canonical, text_key="text_sha256").withColumnRenamed("reason", "__r2")
+    tagged = additive(tagged, canonical).withColumn("reason", F.coalesce("__r1", "__r2", "reason")).drop("__r1", "__r2")
+    return split_tagged(settle(tagged))
 
 
 def source_matched_cap(n: int, mult: float) -> int:

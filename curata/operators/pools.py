@@ -149,7 +149,7 @@ def assemble(pool: DataFrame, canonical: DataFrame, spec: Spec) -> Pool:
     """A pool's documents, its reject register (filename, reason) and the rows that need rendering first."""
     rows = tagged(pool, spec)
     kept = records(rows.where("reason is null"), doc_type=spec.doc_type, subclass=F.col("subclass"), title=F.col("title") if spec.store_title else F.lit(""), source_corpus=spec.corpus, source_revision=spec.revision, label_source=spec.label_source, lineage=F.col("lineage"))
-    done = enrich.finalize(kept.select(*DOCUMENT, *PROVENANCE, "text_sha256"), canonical)
+    done = enrich.finalize(kept.select(*DOCUMENT, *PROVENANCE, "text_sha256"), canonical, settled)
     rejected = _rejects(rows.where("reason <> 'needs_render'")).unionByName(done.rejected)
     kept = done.kept
     if spec.cap is not None:
@@ -209,6 +209,7 @@ def pseudo_documents(candidates: DataFrame, canonical: DataFrame, head: list[str
     marked = enrich.pseudo_labels(require_columns(candidates, need, "pseudo labels"), head, doc_type=doc_type, **gates)
     rejected = _rejects(marked)
     rows = records(marked.where("reason is null"), doc_type=doc_type, subclass=F.col("pred_subclass"), title=F.col("title"), source_corpus="pool", source_revision="pool", label_source="pseudo", label_confidence=F.col("label_confidence"), example_weight=0.5, lineage="pseudo", tier=2)
+    rows = settled(rows)
     budget = round(max_fraction * class_rows(canonical, doc_type))
     steps = [lambda r: enrich.additive(r, canonical)]
     if family and family in candidates.columns and family in canonical.columns:
