@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from curata.settings import EDGES, WILSON_Z
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once: a lambda would compute what it takes from outside at every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(logits: Column, temperature: float = 1.0) -> Column:
     """Probabilities of logits over a temperature above 0."""
     if temperature <= 0:
         raise ValueError("temperature must be above 0")
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda z: F.exp((z - top) / F.lit(float(temperature))))
-    return F.transform(powers, lambda p: p / F.aggregate(powers, F.lit(0.0), lambda a, x: a + x))
+    t = F.lit(float(temperature))
+    powers = _let(F.array_max(logits), lambda top: F.transform(logits, lambda z: F.exp((z - top) / t)))
+    return _let(powers, lambda ps: _let(_sum(ps), lambda total: F.transform(ps, lambda p: p / total)))
 
 
 def energy(logits: Column, temperature: float = 1.0) -> Column:
@@ -22,9 +33,7 @@ def energy(logits: Column, temperature: float = 1.0) -> Column:
     if temperature <= 0:
         raise ValueError("temperature must be above 0")
     t = F.lit(float(temperature))
-    top = F.array_max(logits)
-    total = F.aggregate(F.transform(logits, lambda z: F.exp((z - top) / t)), F.lit(0.0), lambda a, x: a + x)
-    return -(top / t + F.ln(total)) if temperature == 1.0 else -t * (top / t + F.ln(total))
+    return _let(F.array_max(logits), lambda top: -t * (top / t + F.ln(_sum(F.transform(logits, lambda z: F.exp((z - top) / t))))))
 
 
 def log_prior(weights: list[float | None], max_ratio: float = 0.0) -> list[float]:
