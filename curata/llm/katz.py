@@ -36,7 +36,7 @@ from curata.llm.shared import written
 from curata.llm.textmap import chunks, lower_ascii, words_of
 
 #: Counts up to this are discounted; text of a block.
-K, BLOCK_BYTES = 5, 12 << 20
+K, BLOCK_BYTES = 5, 8 << 20
 
 #: The end token, which no word equals, and the number of the begin context.
 END, BEGIN = "\n", 0
