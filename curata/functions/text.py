@@ -139,6 +139,11 @@ def gram_hashes(text: Column, n: int = 5) -> Column:
     return _let(F.transform(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: F.xxhash64(w)), grams)
 
 
+def folded_space(text: Column) -> Column:
+    """Lower case with runs of white space as one blank."""
+    return F.regexp_replace(F.lower(text), f"{_SPACE}+", " ")
+
+
 def char_ngrams(text: Column, n: int = 4) -> Column:
     """Distinct character n-grams of the lower-cased text with white space collapsed; blanks at the ends count."""
 
@@ -146,7 +151,7 @@ def char_ngrams(text: Column, n: int = 4) -> Column:
         each = F.transform(F.sequence(F.lit(1), F.size(letters) - n + 1), lambda k: F.array_join(F.slice(letters, k, n), ""))
         return F.when(F.size(letters) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(each))
 
-    return _let(F.split(F.regexp_replace(F.lower(text), f"{_SPACE}+", " "), ""), grams)
+    return _let(F.split(folded_space(text), ""), grams)
 
 
 def proper_nouns(text: Column) -> Column:

@@ -126,6 +126,30 @@ def test_char_similarity_matches_all_pairs(spark):
     assert {(r["a"], r["b"]) for r in enrich.char_similarity(rows, "id", "text", 0.6).collect()} == want
 
 
+def test_char_similarity_by_blocks_and_many_sizes(spark, monkeypatch):
+    """Sketches of all widths, buckets of several blocks, and letters beyond the BMP: as all pairs give."""
+    import random
+    import re
+
+    from curata.operators import alike
+
+    monkeypatch.setattr(alike, "BLOCK", 16)
+    draw, texts = random.Random(5), []
+    for k in range(60):
+        words = ["".join(draw.choice("abcdefghij é\U0001f600") for _ in range(draw.randint(2, 9))) for _ in range(draw.choice((1, 2, 5, 20, 90, 300)))]
+        texts += [" ".join(words), " ".join(words[: -max(1, len(words) // 12)] + ["x" * (k % 7)]), " ".join(words + ["tail\n end"])]
+    rows = spark.createDataFrame([(3 * k, t) for k, t in enumerate(texts)], "id long, text string")
+    sets = [(lambda s: {s[k : k + 4] for k in range(len(s) - 3)})(re.sub(r"\s+", " ", t)) for t in texts]
+    first = {}
+    for k, t in enumerate(texts):
+        first.setdefault(t, k)
+    reps = sorted(first.values())
+    want = {(3 * a, 3 * b, len(sets[a] & sets[b]) / len(sets[a] | sets[b])) for i, b in enumerate(reps) for a in reps[:i] if sets[a] and sets[b] and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) > 0.85}
+    want |= {(3 * first[t], 3 * k, 1.0) for k, t in enumerate(texts) if first[t] != k and sets[k]}
+    got = [tuple(r) for r in enrich.char_similarity(rows, "id", "text").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 40
+
+
 def test_copies_are_near_duplicates(spark):
     rows = spark.createDataFrame([(3, "the very same text"), (1, "the very same text"), (2, "the very same text"), (4, "ab"), (5, "ab")], "id long, text string")
     assert sorted(map(tuple, enrich.char_similarity(rows, "id", "text").collect())) == [(1, 2, 1.0), (1, 3, 1.0)]
