@@ -240,6 +240,11 @@ def test_simhash_links_are_exact(spark):
     assert got == want
 
 
+def test_simhash_links_do_not_go_to_the_driver(spark):
+    plan = simhash.links(spark.range(5000).selectExpr("xxhash64(id) AS fp"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_fingerprints(docs):
     from xxhash import xxh64_intdigest
 
