@@ -376,3 +376,23 @@ def test_pipeline(spark):
         docs = after
     rows = corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001")
     assert {r["doc_id"] for r in rows.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
+
+
+def test_quality_learns_from_every_label(spark, monkeypatch):
+    """Blocks of few rows, a rare class that is dealt several times: thresholds and moments are those of all rows in memory."""
+    monkeypatch.setattr(quality, "MAJOR", 300)
+    n = 24_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 9 = 0 THEN concat('BUY $$ !! ', id % 97, ' ##') ELSE concat('a calm line of words number ', id % 89, '.') END AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "IF(id % 9 = 0 OR id % 1000 = 7, 0, 1) AS quality")
+    seen = []
+    keep = quality.fit_table
+    monkeypatch.setattr(quality, "fit_table", lambda rows: seen.append(rows) or keep(rows))
+    ranker = quality.train(docs, labels)
+    want = spark.range(n).where("crc32(cast(cast(id AS string) AS binary)) % 4 <> 2").count()
+    rows = seen[0].collect()
+    assert len(rows) == want > 17_000
+    x, y = np.array([np.frombuffer(r["x"]) for r in rows]), np.array([r["label"] for r in rows])
+    ranks = np.sort(x @ ranker.weights)
+    cut = int((y == 0).sum())
+    assert abs(ranker.middle - (ranks[cut - 1] + ranks[cut]) / 2) < 1e-9 and abs(ranker.width - ranks.std() / 4) < 1e-9
+    assert np.corrcoef(x @ ranker.weights, x @ quality.fit(x, y).weights)[0, 1] > 0.99
