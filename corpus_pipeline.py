@@ -32,7 +32,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup (operator 8) on five-word shingles: of each group of similarity 0.8 or more the least id stays, and one row of it."""
+    """SimHash near-dedup (operator 8) on five-word shingles, its links verified, and those beyond its bits by prefixes: of each group of similarity 0.8 or more the least id stays, and one row of it."""
     ship(spark)
     return near_texts.keep_one(docs, size=5, similarity=0.8)
 

@@ -1,7 +1,11 @@
-"""Near-duplicate texts by Jaccard similarity of word shingles, found by prefix filter and SimHash, verified exactly.
+"""SimHash near-dedup with an exact check: texts whose word shingles have a Jaccard index of a bound or more.
+
+Operator 8 comes first: distinct SimHashes that are equal or differ in one or two bits are found by its index of deletion
+variants (``by_fingerprint``), and the pairs of their texts are verified like all others.
 
 Texts that share 0.8 of their five-word shingles differ in up to fifteen of the 64 bits of their SimHashes, where segments
-that differ by at most one bit have eight bits and select nothing.  So candidates must share a shingle of their prefixes.
+that differ by at most one bit have eight bits and select nothing.  So for pairs further apart than the index reaches,
+candidates must share a shingle of their prefixes.
 All shingle sets are sorted by one order, that of a fixed table of counts (rare first) and then of the hash; sets of
 similarity s have their first shared shingle in the first n - ceil(s * n) + 1 of both, and what follows it on either side
 must be enough for s.  This holds for every order; rare first means that a passage of many documents is no key for texts
@@ -33,7 +37,7 @@ from pyspark.sql import types as T
 
 from curata.llm.components import components
 from curata.llm.shared import written
-from curata.llm.simhash import shingle_hashes, simhash
+from curata.llm.simhash import links, shingle_hashes, simhash
 from curata.llm.textmap import chunks, lower_ascii, map_texts, release, words_of
 
 #: Texts of a key of which all pairs are compared, ids that may be broadcast, cells of the counts that order shingles and of one block of them.
@@ -126,6 +130,17 @@ def _pairs(joined: DataFrame, x: str, y: str) -> DataFrame:
     return joined.select(F.least(f"{x}.id", f"{y}.id").alias("a"), F.greatest(f"{x}.id", f"{y}.id").alias("b"))
 
 
+def by_fingerprint(texts: DataFrame) -> DataFrame:
+    """(a, b), a < b: of the texts (rep, fp), those that operator 8 links.
+
+    Texts of one SimHash are each paired with the least of them, and SimHashes that differ in one or two bits by their least texts.
+    """
+    least = written(texts.groupBy("fp").agg(F.min("rep").alias("least")), "prints")
+    x, y = (least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}")) for c in ("a", "b"))
+    apart = links(least.select("fp")).join(x, "a").join(y, "b").select(F.least("least_a", "least_b").alias("a"), F.greatest("least_a", "least_b").alias("b"))
+    return apart.unionByName(texts.join(least, "fp").where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")))
+
+
 def candidates(rows: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: all pairs that may be similar of keys of few texts, and as many as rows of the others."""
     cold = rows.where(F.col("count") <= COLD).select("key", "id", "n", "at")
@@ -140,7 +155,7 @@ def candidates(rows: DataFrame, fps: DataFrame, similarity: float) -> DataFrame:
     order = Window.partitionBy("key", "turn", F.shiftrightunsigned("fp", 64 - SLICE)).orderBy("fp", "me.id")
     neighbour = parts.withColumn("other", F.lag("me").over(order)).where("other is not null").select("me", "other")
     linear = to_first.unionByName(neighbour).where((F.col("me.id") != F.col("other.id")) & _fits("me", "other", similarity))
-    return pairs.unionByName(_pairs(linear, "me", "other")).distinct()
+    return pairs.unionByName(_pairs(linear, "me", "other"))
 
 
 def rest(rows: DataFrame, root: DataFrame, similarity: float) -> DataFrame:
@@ -190,7 +205,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     reps = texts.select(F.col("rep").alias("id")).distinct()
     few = F.broadcast(reps) if reps.count() <= BROADCAST else reps
     rows = written(keyed(named.join(few, "id", "left_semi"), levels(named, "text", size), size, similarity), "keyed")
-    pairs = written(candidates(rows, texts.select(F.col("rep").alias("id"), "fp"), similarity), "pairs")
+    near = written(by_fingerprint(texts), "near")
+    pairs = written(near.unionByName(candidates(rows, texts.select(F.col("rep").alias("id"), "fp"), similarity)).distinct(), "pairs")
     edges = written(verified(pairs, docs, id_col, text_col, size, similarity), "edges")
     root = components(edges)
     more = written(rest(rows, root, similarity), "rest")

@@ -291,6 +291,22 @@ def test_near_texts_keep_one_of_each_group(spark):
     assert kept == {g[0] for g in groups} | {i for i, _ in loners}
 
 
+def test_near_texts_take_the_links_of_operator_8(spark, monkeypatch):
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    rows = []
+    for k in range(30):  # long texts, the second with another last word: their SimHashes differ in no bit or two
+        words = [word() for _ in range(3000)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-1], word()]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {r["doc_id"]: r["fp"] for r in simhash.fingerprints(docs, size=5).collect()}
+    near = {2 * k + 1 for k in range(30) if (fps[2 * k] ^ fps[2 * k + 1]).bit_count() <= 2}
+    assert len(near) > 20
+    monkeypatch.setattr(near_texts, "keyed", lambda *a: spark.createDataFrame([], "key long, id long, n int, at int, count long"))
+    kept = {r["doc_id"] for r in near_texts.keep_one(docs).collect()}
+    assert kept == set(range(60)) - near
+
+
 def test_near_texts_find_all_pairs_in_a_passage_of_thousands(spark):
     rng = random.Random(11)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
