@@ -72,6 +72,7 @@ def map_texts(df: DataFrame, text_col: str, keep: list[str], fields: list[T.Stru
                 texts = [t or "" for t in part.column(len(held)).to_pylist()]
                 made = [pa.array(x, kind) for x, kind in zip(work(texts), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(held)], *made], names=names)
+        trim()
 
     return source.mapInArrow(run, schema)
 
@@ -162,14 +163,19 @@ def held(key: tuple, make: Callable[[], object]) -> object:
 
 
 def release() -> None:
-    """Gives up what this worker holds, and its freed memory to the system where the C library can.
+    """Gives up what this worker holds, and its freed memory to the system.
 
     Tasks that need no table call it, or workers that are used again would carry the last stage's table along.
     """
     if _HELD:
         _HELD.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+    trim()
+
+
+def trim() -> None:
+    """Freed memory goes back to the system where the C library can; else a worker that is used again keeps the most that any of its tasks had."""
+    pa.default_memory_pool().release_unused()
+    freed = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if freed:
+        freed(0)

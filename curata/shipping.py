@@ -10,10 +10,16 @@ from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
 
+#: Rows that Spark sends to a Python worker at once, at most: with whole texts, 10,000 of them (its default) are some 30 MB in the task and in its worker.
+BATCH = 1000
+
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Adds a zip of the package to the application, once; Spark serves it to every Python worker."""
+    """Adds a zip of the package to the application, once; Spark serves it to every Python worker.  The session's Arrow batches get ``BATCH`` rows at most."""
     context = spark.sparkContext
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH:
+        spark.conf.set(rows, str(BATCH))
     if context.applicationId not in _SHIPPED:
         _SHIPPED.add(context.applicationId)
         root = os.path.dirname(os.path.abspath(__file__))

@@ -9,10 +9,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from curata.llm import byte_bpe, components, fertility, html_text, iblt, katz, near_texts, packing, quality, simhash, token_counts, url_filter
+from curata import shipping
+from curata.llm import byte_bpe, components, fertility, html_text, iblt, katz, near_texts, packing, quality, simhash, textmap, token_counts, url_filter
 from curata.llm.textmap import lower_ascii, words_of
 
 ODD = [
@@ -291,6 +293,18 @@ def test_near_texts_keep_one_of_each_group(spark):
     assert kept == {g[0] for g in groups} | {i for i, _ in loners}
 
 
+def test_workers_get_small_batches_and_give_memory_back(spark, monkeypatch):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    shipping.ship(spark)
+    sizes = spark.range(0, 5000, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").collect()
+    assert max(r["n"] for r in sizes) <= shipping.BATCH and sum(r["n"] for r in sizes) == 5000
+    calls = []
+    monkeypatch.setattr(textmap, "trim", lambda: calls.append(1))
+    monkeypatch.setattr(textmap, "_HELD", {})
+    textmap.release()
+    assert calls
+
+
 def test_near_texts_take_the_links_of_operator_8(spark, monkeypatch):
     rng = random.Random(21)
     word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
