@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with ranks.
 
 Texts are cut into pre-tokens by the pattern of the rank file.  The distinct pre-tokens of a block of documents are
-encoded once, by Spark's higher-order functions: a word is the array of its bytes' ids, and a fold over its length merges,
-at each step, the first adjacent pair of the lowest rank, until no pair has a rank.  Decoding concatenates the binary
-pieces of the ids.
+encoded once, by Spark's higher-order functions: a word is the array of its bytes' ids with the ranks of neighbours between
+them, and a fold over its length merges, at each step, the first adjacent pair of the lowest rank, until no pair has a rank.
+Decoding concatenates the binary pieces of the ids.
 
 Ranks come from one literal: the rank of every pair of ids whose pieces together are a piece, which is that piece's id.
 It is an array of small maps, a pair being in the map that its key's remainder names, because Spark searches a map from
@@ -40,7 +40,7 @@ from curata.llm.textmap import chunks, held
 from curata.llm.word_bpe import _ODD
 
 #: Text of a block, words that a task keeps, and bytes of a word that is first cut.
-BLOCK_BYTES, HELD, LONG = 6 << 20, 500_000, 64
+BLOCK_BYTES, HELD, LONG = 6 << 20, 650_000, 64
 
 #: Small maps of the rank map (a prime, so remainders of keys spread), rank of no pair, and what tells ids from ranks.
 MAPS, NONE, ID = 65_521, 1 << 29, 1 << 30
@@ -64,6 +64,7 @@ class Splitter:
         self.exact, self.plain = regex.compile(exact), pattern == _USUAL
         self.pairs = {p[k : k + 2] for p in ranks for k in range(len(p) - 1)}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), NONE) for b in range(256)] for a in range(256)], np.int32)
         self.unreached = whole
 
     def split(self, text: str) -> list[str]:
@@ -73,6 +74,20 @@ class Splitter:
             return [p for w in words for p in self._cut(w)]
         return words
 
+    def starts(self, raw: list[bytes]) -> pa.ListArray:
+        """The state of each word before any merge, as ``merge_bytes`` takes it."""
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        text = np.frombuffer(b"".join(raw), np.uint8)
+        at = 2 * np.arange(len(text)) + np.repeat(np.arange(len(raw)), lengths)
+        flat = np.full(2 * len(text) + len(raw), NONE, np.int32)
+        flat[at + 1] = self.byte_ids[text] + ID
+        inner = np.ones(len(text), bool)
+        inner[ends[:-1]] = False
+        k = np.flatnonzero(inner)
+        flat[at[k]] = self.byte_pairs[text[k - 1], text[k]]
+        return pa.ListArray.from_arrays(pa.array((2 * ends + np.arange(len(raw) + 1)).astype(np.int32)), pa.array(flat))
+
     def _cut(self, word: str) -> list:
         if len(word) <= LONG // 4 or len(raw := word.encode()) <= LONG:
             return [word]
@@ -117,35 +132,34 @@ def literals(spark: SparkSession, ranks: dict[bytes, int]) -> tuple[Column, Colu
     return table.select("maps").scalar(), table.select("pieces").scalar()
 
 
-def merge_bytes(ids: Column, maps: Column) -> Column:
-    """Ids of one word from its bytes' ids: array<int>.
+def merge_bytes(start: Column, maps: Column) -> Column:
+    """Ids of one word: array<int>.
 
-    The state's array holds ids and ranks in turn: id, rank of the pair with the next, next id, and so on; ids are raised by
-    ``ID``, so the array's minimum is the lowest rank.  Every other step finds it, the next merges there: the three
-    entries of the pair and the ranks on both sides give way to one id and its ranks.
+    The state is an array of ranks and ids in turn: a rank of no pair, id, rank of the pair with the next, next id, and so on
+    to a rank of no pair; ids are raised by ``ID``, so the array's minimum is the lowest rank.  A step merges there: the
+    pair and the ranks on both sides give way to one id and its ranks.  What a step needs twice is the variable of a fold
+    over one element.  The place is found by a lambda: ``array_position`` leaves its loop by an exception, which took most
+    of the time.
     """
 
-    def rank(a: Column, b: Column) -> Column:  # of ids without ID
-        key = a.cast("long") * _LEFT + b
+    def let(value: Column, body) -> Column:
+        return F.aggregate(F.array(value), F.lit(None).cast("array<int>"), lambda _, x: body(x))
+
+    def rank(a: Column, b: Column) -> Column:
+        key = (a - ID).cast("long") * _LEFT + (b - ID)
         return F.coalesce(F.try_element_at(F.get(maps, (key % MAPS).cast("int")), key), F.lit(NONE))
 
-    def merged(s: Column) -> Column:  # at: place of the rank, from 1
-        a, m, at = s["a"], s["m"], s["at"]
-        n = F.size(a)
-        left = F.when(at > 2, F.array(rank(F.get(a, at - 4) - ID, m), m + ID)).otherwise(F.array(m + ID))
-        right = F.when(at + 2 <= n, F.slice(a, at + 3, n))
-        both = F.when(at + 2 <= n, F.array(rank(m, F.get(a, at + 2) - ID)))
-        whole = F.when(at + 2 <= n, F.concat(F.slice(a, 1, F.greatest(at - 3, F.lit(0))), left, both, right)).otherwise(F.concat(F.slice(a, 1, F.greatest(at - 3, F.lit(0))), left))
-        return F.struct(whole.alias("a"), F.lit(NONE).alias("m"), F.lit(0).alias("at"))
+    def step(s: Column, _: Column) -> Column:
+        def merged(m: Column, at: Column) -> Column:  # at: place of the rank, from 1
+            left = F.when(at > 3, rank(F.get(s, at - 4), m + ID)).otherwise(F.lit(NONE))
+            right = F.when(at + 2 < F.size(s), rank(m + ID, F.get(s, at + 2))).otherwise(F.lit(NONE))
+            return F.concat(F.slice(s, F.lit(1), at - 3), F.array(left, m + ID, right), F.slice(s, at + 3, F.size(s)))
 
-    def step(s: Column, k: Column) -> Column:
-        found = F.struct(s["a"].alias("a"), F.array_min(s["a"]).alias("m"), F.array_position(s["a"], F.array_min(s["a"])).cast("int").alias("at"))
-        return F.when(k % 2 == 0, found).otherwise(F.when(s["m"] < NONE, merged(s)).otherwise(s))
+        first = lambda m: F.array_min(F.transform(s, lambda x, k: F.when(x == m, k + 1)))
+        return let(F.array_min(s), lambda m: F.when(m >= NONE, s).otherwise(let(first(m), lambda at: merged(m, at))))
 
-    pairs = F.flatten(F.transform(ids, lambda b, k: F.when(k == 0, F.array(b + ID)).otherwise(F.array(rank(F.get(ids, k - 1), b), b + ID))))
-    start = F.struct(pairs.alias("a"), F.lit(NONE).alias("m"), F.lit(0).alias("at"))
-    last = F.aggregate(F.sequence(F.lit(0), 2 * F.size(ids) - 3), start, step)["a"]
-    return F.when(F.size(ids) < 2, ids).otherwise(F.transform(F.filter(last, lambda x: x >= ID), lambda x: x - ID))
+    last = F.aggregate(F.sequence(F.lit(3), F.shiftright(F.size(start), 1) + 1), start, step)
+    return F.when(F.size(start) < 4, F.array(F.get(start, F.lit(1)) - ID)).otherwise(F.transform(F.filter(last, lambda x: x >= ID), lambda x: x - ID))
 
 
 def decode_ids(ids: Column, pieces: Column) -> Column:
@@ -173,8 +187,7 @@ def _blocks(pattern: str, path: str, whole_pieces: dict[bytes, int]):
             nonlocal index, base, ids, orders, size
             raw = [w if isinstance(w, bytes) else w.encode() for w in islice(index, base, None)]
             whole = [(k, splitter.unreached[w]) for k, w in enumerate(raw) if w in splitter.unreached] if splitter.unreached else []
-            ends = np.cumsum([0, *map(len, raw)]).astype(np.int32)
-            words = pa.ListArray.from_arrays(pa.array(ends), pa.array(splitter.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]))
+            words = splitter.starts(raw)
             order = np.concatenate(orders).astype(np.int32).tobytes()
             columns = [pa.array([ids], pa.list_(pa.int64())), pa.array([[len(o) for o in orders]], pa.list_(pa.int32())), pa.array([order], pa.binary()), pa.array([base], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(raw)], pa.int32()), words), pa.array([whole], pa.map_(pa.int32(), pa.int32()))]
             base, ids, orders, size = len(index), [], [], 0
@@ -249,3 +262,9 @@ def coded_blocks(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_tokens, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes."""
     return coded_blocks(docs, path, pattern, id_col, text_col).mapInArrow(_documents, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+
+
+def fewer_tasks(docs: DataFrame) -> DataFrame:
+    """A table as read, two splits to a task where all cores have two tasks still: a task encodes the words of both once."""
+    n, cores = docs.rdd.getNumPartitions(), docs.sparkSession.sparkContext.defaultParallelism
+    return docs.coalesce(max(1, min(n, 2 * cores), -(-n // 2)))

@@ -70,6 +70,18 @@ def test_byte_bpe_equals_the_library_and_round_trips(docs):
         assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
 
 
+def test_byte_bpe_merges_without_array_position(spark):
+    """Ties go to the first pair; the fold holds no function that leaves its loop by an exception."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"aa": 256, b"aaa": 257, b"ba": 258, b"aab": 259}
+    splitter = byte_bpe.Splitter(P.PATTERN, ranks, {})
+    raw = [b"a", b"aa", b"aaaaa", b"baab", b"aabaa", b"xyz"]
+    table = spark.createDataFrame(pa.table({"word": splitter.starts(raw)}))
+    maps, _ = byte_bpe.literals(spark, ranks)
+    out = table.select("word", maps.alias("maps")).select(byte_bpe.merge_bytes(F.col("word"), F.col("maps")).alias("ids"))
+    assert [r["ids"] for r in out.collect()] == [[97], [256], [256, 257], [98, 259], [259, 256], [120, 121, 122]]
+    assert "array_position" not in out._jdf.queryExecution().toString()
+
+
 def test_unreached_pieces_are_taken_whole(spark, tmp_path):
     import base64
 
