@@ -59,6 +59,27 @@ def test_finite(spark):
         assert one(spark, ar.finite(F.lit(v))) is None
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_overlaps_do_not_shuffle_candidates_for_a_small_corpus(spark, monkeypatch, few):
+    monkeypatch.setattr(enrich, "FEW", few, raising=False)
+    rows = spark.createDataFrame([(1, "one two three four five six"), (2, "one two three nine five six"), (3, None), (4, "Big Bank of four five six seven")], "id long, t string")
+    corpus = spark.createDataFrame([("x two three four five six y",), ("said Big Bank today",)], "t string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plans, settle = [], enrich.settled
+    monkeypatch.setattr(enrich, "settled", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or settle(df))
+    try:
+        hits = {r["id"]: r["n_shared"] for r in enrich.ngram_hits(rows, corpus, "id", "t", "t", 5).collect()}
+        named = enrich.entity_hits(rows, corpus, "id", "t", "t")
+        found = {r["id"] for r in named.collect()}
+        plans.append(named._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert hits == {1: 1} and found == {4}
+    joins = [p for p in plans if "LeftSemi" in p]
+    assert len(joins) >= 2 and all(("SortMergeJoin" not in p) == (few > 0) for p in joins)
+
+
 def test_ngrams_of_short_texts(spark):
     assert one(spark, tx.word_ngrams(F.lit("a b c"), 5)) == []
     assert one(spark, tx.char_ngrams(F.lit("ab"), 4)) == []
