@@ -85,7 +85,7 @@ def seven_gates(candidates: DataFrame, cards: DataFrame, corpus: DataFrame, key:
     differ from.  The joins see only candidates that pass the gates of one row, so the costly ones see few.
     """
     shaped = cards.groupBy("parent_class", "subclass").agg(F.first(F.struct("positive_cues", "negative_cues", "title_patterns", "required_structure", "prohibited_facts")).alias("__card"))
-    rows = candidates.join(shaped, ["parent_class", "subclass"], "left")
+    rows = candidates.join(F.broadcast(shaped), ["parent_class", "subclass"], "left")
     known = F.array(*[F.lit(e.strip().lower()) for e in known_entities if e.strip()]).cast("array<string>")
     low = F.lower(_text("doc_text"))
     rows = rows.withColumns({"__schema": schema_reason(), "__cue": cue_reason(), "__known": F.exists(known, lambda e: F.contains(low, e)), "__verdict": adjudication_reason(), "__model": model_reason(probability)})
